@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import names
@@ -15,15 +15,20 @@ GRAPH = (
     "wikipedia_domain string, wikipedia_db_name string, dump_date string, "
     f"nodes array<{NODE}>, edges array<array<bigint>>, max_degree bigint"
 )
-MIXES = "string"
 GENRE_DOC = "description string, last_revision_date timestamp, mixes string, top_artists array<string>"
 ARTIST_DOC = "name string, description string, last_revision_date timestamp, genres array<bigint>"
 
 
+def _file_stem(suffix: str = "") -> Column:
+    """Name of the file a row came from; Spark reports it percent-encoded."""
+    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(encoded), suffix + "$", "")
+
+
 def read_mix_files(spark: SparkSession, path: str) -> DataFrame:
     """``(page, raw)`` per file; the file name is the sanitised page name."""
     files = spark.read.option("wholetext", True).text(path)
-    return files.select(names.unsanitize(F.col("_metadata.file_name")).alias("page"), F.col("value").alias("raw"))
+    return files.select(names.unsanitize(_file_stem()).alias("page"), F.col("value").alias("raw"))
 
 
 def parse_mix_files(files: DataFrame) -> DataFrame:
@@ -64,5 +69,4 @@ def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 def read_entity_docs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per JSON document in a folder; ``page`` comes from the file name."""
     docs = spark.read.schema(schema).json(path, multiLine=True)
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    return docs.select(names.unsanitize(stem).alias("page"), "*")
+    return docs.select(names.unsanitize(_file_stem(r"\.json")).alias("page"), "*")
