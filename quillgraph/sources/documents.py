@@ -27,7 +27,7 @@ def _file_stem(suffix: str = "") -> Column:
 
 def read_mix_files(spark: SparkSession, path: str) -> DataFrame:
     """``(page, raw)`` per file; the file name is the sanitised page name."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(names.unsanitize(_file_stem()).alias("page"), F.col("value").alias("raw"))
 
 
