@@ -196,9 +196,9 @@ def real_parts(spark, sf):
     return table(spark, sf, "part").filter(key % 3 == 0).select(F.concat(F.lit("Part "), key.cast("string")).alias("page"))
 
 
-REDIRECTS_SQL = """chain AS (SELECT p_partkey AS part, p_partkey AS at FROM part
-  UNION ALL SELECT part, at // 3 FROM chain WHERE at % 3 <> 0),
-resolved AS (SELECT part, at FROM chain WHERE at % 3 = 0)"""
+REDIRECTS_SQL = """chain AS (SELECT p_partkey AS part, p_partkey AS stop FROM part
+  UNION ALL SELECT part, stop // 3 FROM chain WHERE stop % 3 <> 0),
+resolved AS (SELECT part, stop FROM chain WHERE stop % 3 = 0)"""
 
 
 def mixes(spark, sf):

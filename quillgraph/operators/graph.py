@@ -103,6 +103,7 @@ def edge_jaccard(edges: DataFrame) -> DataFrame:
         scale.lookup_join(pairs, degrees, "node_id"),
         degrees.select(F.col("node_id").alias("neighbour"), F.col("d").alias("nd")),
         "neighbour",
+        heavy=scale.heavy_keys(pairs, "neighbour"),
     )
     near = scale.cut(near.select("node_id", "neighbour", "d", "nd"))
 
@@ -166,8 +167,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         over = up.select(F.col("u").alias("m"), F.col("m").alias("mm"))
         step = scale.cut(scale.lookup_join(up, over, "m").select("u", F.col("mm").alias("root")))
         steps.append(step)
+        hot = scale.heavy_keys(pairs, "v")
         left = scale.lookup_join(pairs, step, "u").select("v", F.col("root").alias("a"))
-        right = scale.lookup_join(left, step.select(F.col("u").alias("v"), F.col("root").alias("b")), "v")
+        right = scale.lookup_join(left, step.select(F.col("u").alias("v"), F.col("root").alias("b")), "v", heavy=hot)
         pairs = scale.cut(
             right.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         )
@@ -252,7 +254,6 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None =
     start = asked.filter("source <> target").select("target").distinct().select(
         "target", F.col("target").alias("node_id"), F.lit(0).alias("left"), F.lit(None).cast("long").alias("next")
     )
-    waiting = asked.filter("source <> target")
     levels, frontier, distance = [start], start, 0
     while not frontier.isEmpty():
         distance += 1
@@ -266,10 +267,9 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None =
             .select("target", "node_id", F.lit(distance).alias("left"), "next")
         )
         levels = scale.merge_levels(levels + [reached])
-        waiting = scale.cut(
-            waiting.join(reached.select("target", F.col("node_id").alias("source")), ["target", "source"], "left_anti")
-        )
-        frontier = scale.cut(scale.lookup_join(reached, waiting.select("target").distinct(), "target", "left_semi"))
+        met = scale.union_all(levels).select("target", F.col("node_id").alias("source"))
+        waiting = asked.join(met, ["target", "source"], "left_anti").select("target").distinct()
+        frontier = scale.cut(scale.lookup_join(reached, waiting, "target", "left_semi"))
     ways = scale.cut(scale.union_all(levels))
 
     at_source = ways.select("target", F.col("node_id").alias("source"), F.col("left").alias("hops"))
@@ -340,13 +340,16 @@ def suspicious_edges(
     )
     source = degrees.select(F.col("node_id").alias("src"), F.col("degree").alias("src_degree"))
     label = nodes.select("node_id", "label")
-    flagged = scale.lookup_join(
-        scale.lookup_join(edges.filter("ty = 0"), target, "dst"), source, "src"
-    ).filter(
+    derived = edges.filter("ty = 0")
+    hot = scale.heavy_keys(derived, "src")
+    flagged = scale.lookup_join(scale.lookup_join(derived, target, "dst"), source, "src", heavy=hot).filter(
         (F.col("src_degree") < F.col("dst_degree"))
         & (F.col("dst_degree") / F.greatest("src_degree", F.lit(1)) >= SUSPICIOUS_RATIO)
     )
-    named = scale.lookup_join(flagged, label.select(F.col("node_id").alias("dst"), F.col("label").alias("dst_label")), "dst")
+    named = scale.lookup_join(
+        flagged, label.select(F.col("node_id").alias("dst"), F.col("label").alias("dst_label")), "dst",
+        heavy=scale.heavy_keys(derived, "dst"),
+    )
     named = named.join(label.select(F.col("node_id").alias("src"), F.col("label").alias("src_label")), "src")
     for reviewed in (accepted, rejected):
         if reviewed is not None:

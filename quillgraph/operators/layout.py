@@ -112,7 +112,8 @@ def edge_lengths(points: DataFrame, edges: DataFrame) -> DataFrame:
     at = points.select("node_id", "x", "y")
     source = at.select(F.col("node_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     target = at.select(F.col("node_id").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty_"))
-    both = scale.lookup_join(scale.lookup_join(edges.select("src", "dst", "ty"), source, "src"), target, "dst")
+    hot = scale.heavy_keys(edges, "dst")
+    both = scale.lookup_join(scale.lookup_join(edges.select("src", "dst", "ty"), source, "src"), target, "dst", heavy=hot)
     dx, dy = F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty_")
     return both.select("src", "dst", "ty", F.sqrt(dx * dx + dy * dy).alias("length"))
 
