@@ -157,7 +157,7 @@ def route_report(spark, sf):
     return found.select("source", "target", _joined("path").alias("path"), _joined("reverse_path").alias("reverse_path"))
 
 
-@check("weighted_circular_mean", """SELECT l_partkey AS node_id, round(((degrees(atan2(sum(l_quantity * sin(radians(l_suppkey * 3.7::DOUBLE))),
+@check("weighted_circular_mean", """SELECT l_partkey AS node_id, round((degrees(atan2(sum(l_quantity * sin(radians(l_suppkey * 3.7::DOUBLE))),
   sum(l_quantity * cos(radians(l_suppkey * 3.7::DOUBLE))))) + 360) % 360, 4)::DOUBLE AS hue FROM lineitem GROUP BY 1""")
 def weighted_circular_mean(spark, sf):
     mean = hues.weighted_circular_mean(F.col("l_suppkey") * 3.7, F.col("l_quantity"))

@@ -108,11 +108,11 @@ def artist_scores(spark, sf):
     return _scores(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@check("top_artists", f"""{SCORES_SQL} SELECT genre, artist, round(round(score, 9), 6)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (
+@check("top_artists", f"""{SCORES_SQL} SELECT genre, artist, round(score, 9)::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (
   PARTITION BY genre ORDER BY round(score, 9) DESC, artist) AS rank FROM scores) WHERE rank <= 10""")
 def top_artists(spark, sf):
     best = rank.top_artists(_scores(spark, sf).withColumn("score", F.round("score", 9)))
-    return best.select("genre", "artist", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return best.select("genre", "artist", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @check("artist_genres", f"""WITH {v.CUSTOMER_BRANDS_SQL} SELECT artist, brand AS genre FROM brands WHERE NOT starts_with(brand, 'Brand#2')""")

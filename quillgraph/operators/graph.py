@@ -15,6 +15,9 @@ from quillgraph import scale
 SUSPICIOUS_MIN_DEGREE = 15
 SUSPICIOUS_RATIO = 5.0
 
+# Steps of a found path put together in one job.
+WALK_STEPS = 5
+
 
 def visible_edges(edges: DataFrame, types: list[int] | None = None) -> DataFrame:
     """Edges of the enabled types; all of them by default."""
@@ -155,32 +158,32 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     The rounds shrink; their pointers are put together from the last, smallest
     one back to the first.
     """
-    pairs = scale.cut(
+    pairs, n = scale.cut_counted(
         edges.filter("src <> dst")
         .select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
         .distinct()
     )
-    steps: list[DataFrame] = []
-    while not pairs.isEmpty():
+    steps: list[tuple[DataFrame, int]] = []
+    while n > 0:
         both = pairs.select("u", "v").union(pairs.select("v", "u"))
         up = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         over = up.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        step = scale.cut(scale.lookup_join(up, over, "m").select("u", F.col("mm").alias("root")))
-        steps.append(step)
+        step = scale.cut(scale.lookup_join(up, over, "m", rows=2 * n).select("u", F.col("mm").alias("root")))
+        steps.append((step, 2 * n))
         hot = scale.heavy_keys(pairs, "v")
-        left = scale.lookup_join(pairs, step, "u").select("v", F.col("root").alias("a"))
-        right = scale.lookup_join(left, step.select(F.col("u").alias("v"), F.col("root").alias("b")), "v", heavy=hot)
-        pairs = scale.cut(
+        left = scale.lookup_join(pairs, step, "u", rows=n).select("v", F.col("root").alias("a"))
+        there = step.select(F.col("u").alias("v"), F.col("root").alias("b"))
+        right = scale.lookup_join(left, there, "v", heavy=hot, rows=n)
+        pairs, n = scale.cut_counted(
             right.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         )
     if not steps:
         return nodes.select("node_id", F.col("node_id").alias("component"))
-    whole = steps[-1]
-    for step in reversed(steps[:-1]):
+    whole, _ = steps[-1]
+    for step, size in reversed(steps[:-1]):
         later = whole.select(F.col("u").alias("root"), F.col("root").alias("final"))
-        whole = scale.cut(
-            scale.lookup_join(step, later, "root", "left").select("u", F.coalesce("final", "root").alias("root"))
-        )
+        joined = scale.lookup_join(step, later, "root", "left", rows=size)
+        whole = joined.select("u", F.coalesce("final", "root").alias("root"))
     named = whole.select(F.col("u").alias("node_id"), F.col("root").alias("component"))
     full = nodes.select("node_id").join(named, "node_id", "left")
     return full.select("node_id", F.coalesce("component", "node_id").alias("component"))
@@ -201,8 +204,7 @@ def reach_within(edges: DataFrame, starts: DataFrame, k: int = 2, types: list[in
     order, that is the edge at the end of the smallest shortest id sequence.
     """
     steps = visible_edges(edges, types).groupBy("src", "dst").agg(F.min("ty").alias("ty"))
-    heavy = scale.cut(scale.heavy_keys(steps, "src"))
-    steps = scale.cut(scale.split_rows(steps, "src", heavy, ["dst"]))
+    steps, heavy = scale.for_lookups(steps, "src", ["dst"])
     first = starts.select(
         F.col("start"),
         F.col("start").alias("node_id"),
@@ -221,7 +223,7 @@ def reach_within(edges: DataFrame, starts: DataFrame, k: int = 2, types: list[in
             .agg(F.min(F.struct("trail", "src", "ty")).alias("m"))
             .join(seen, ["start", "node_id"], "left_anti")
         )
-        frontier = scale.cut(
+        frontier, n = scale.cut_counted(
             reached.select(
                 "start",
                 "node_id",
@@ -232,7 +234,7 @@ def reach_within(edges: DataFrame, starts: DataFrame, k: int = 2, types: list[in
             )
         )
         levels.append(frontier)
-        if frontier.isEmpty():
+        if n == 0:
             break
     return scale.union_all(levels).drop("trail")
 
@@ -243,23 +245,22 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None =
     Searches backwards from each target and keeps, per node, the smallest next
     node on a shortest way to it.  Following those gives the smallest id
     sequence among the shortest paths, which is also the one a queue-based
-    search over id-ordered edges finds.  A target stops once all its sources
-    are reached.
+    search over id-ordered edges finds.  A target whose sources are all reached
+    drops out; the round after the last one finds nothing and ends the loop.
     """
-    asked = scale.cut(pairs.select("source", "target").distinct())
+    asked, n_asked = scale.cut_counted(pairs.select("source", "target").distinct())
     steps = visible_edges(edges, types).filter("src <> dst").select("src", "dst").distinct()
-    heavy = scale.cut(scale.heavy_keys(steps, "dst"))
-    steps = scale.cut(scale.split_rows(steps, "dst", heavy, ["src"]))
+    steps, heavy = scale.for_lookups(steps, "dst", ["src"])
 
     start = asked.filter("source <> target").select("target").distinct().select(
         "target", F.col("target").alias("node_id"), F.lit(0).alias("left"), F.lit(None).cast("long").alias("next")
     )
-    levels, frontier, distance = [start], start, 0
-    while not frontier.isEmpty():
+    levels, frontier, distance, n = [start], start, 0, n_asked
+    while n > 0:
         distance += 1
         seen = scale.union_all(levels).select("target", "node_id")
         here = scale.copy_to_slots(frontier.select("target", F.col("node_id").alias("dst")), "dst", heavy)
-        reached = scale.cut(
+        reached, n = scale.cut_counted(
             here.join(steps, ["dst", "_slot"])
             .groupBy("target", F.col("src").alias("node_id"))
             .agg(F.min("dst").alias("next"))
@@ -269,27 +270,32 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None =
         levels = scale.merge_levels(levels + [reached])
         met = scale.union_all(levels).select("target", F.col("node_id").alias("source"))
         waiting = asked.join(met, ["target", "source"], "left_anti").select("target").distinct()
-        frontier = scale.cut(scale.lookup_join(reached, waiting, "target", "left_semi"))
+        frontier = scale.lookup_join(reached, waiting, "target", "left_semi", rows=n)
     ways = scale.cut(scale.union_all(levels))
 
     at_source = ways.select("target", F.col("node_id").alias("source"), F.col("left").alias("hops"))
     found = asked.join(at_source, ["target", "source"], "left").select(
         "source", "target", F.when(F.col("source") == F.col("target"), F.lit(0)).otherwise(F.col("hops")).alias("hops")
     )
+    found = scale.cut(found)
     longest = found.agg(F.max("hops").alias("m")).first()["m"] or 0
     walk = found.withColumn("path", F.when(F.col("hops").isNotNull(), F.array("source")))
     done: list[DataFrame] = [walk.filter("hops is null or hops = 0")]
     walk = walk.filter("hops > 0").withColumn("here", F.struct("target", F.col("source").alias("node_id")))
     way = ways.filter("next is not null").select(F.struct("target", "node_id").alias("here"), "next")
     for step in range(1, longest + 1):
-        walk = scale.cut(
-            scale.lookup_join(walk, way, "here", spread=["source"])
-            .withColumn("path", F.concat("path", F.array("next")))
-            .withColumn("here", F.struct("target", F.col("next").alias("node_id")))
+        # A path that has arrived finds no next node and stays as it is.
+        walk = (
+            scale.lookup_join(walk, way, "here", "left", spread=["source"], rows=n_asked)
+            .withColumn("path", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))))
+            .withColumn("here", F.struct("target", F.coalesce("next", "target").alias("node_id")))
             .drop("next")
         )
-        done.append(walk.filter(F.col("hops") == step).drop("here"))
-        walk = walk.filter(F.col("hops") > step)
+        if step % WALK_STEPS == 0:
+            walk = scale.cut(walk)
+            done.append(walk.filter(F.col("hops") <= step))
+            walk = walk.filter(F.col("hops") > step)
+    done.append(walk)
     return scale.union_all([d.select("source", "target", "hops", "path") for d in done])
 
 

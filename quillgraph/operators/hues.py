@@ -44,8 +44,7 @@ def propagate_hues(
     seeded = scale.cut(hue_seeds(degrees, seeds).select("node_id", "hue"))
     weight = degrees.select(F.col("node_id").alias("src"), F.col("degree").alias("weight"))
     pull = edges.join(F.broadcast(seeded.select(F.col("node_id").alias("dst"))), "dst", "left_anti")
-    heavy = scale.cut(scale.heavy_keys(pull, "src"))
-    pull = scale.split_rows(pull.select("src", "dst", "ty"), "src", heavy, ["dst", "ty"])
+    pull, heavy = scale.for_lookups(pull.select("src", "dst", "ty"), "src", ["dst", "ty"])
     pull = scale.cut(pull.join(scale.copy_to_slots(weight, "src", heavy), ["src", "_slot"]))
 
     hues = seeded

@@ -29,8 +29,7 @@ def resolve_redirects(pages: DataFrame, redirects: DataFrame) -> tuple[DataFrame
         .select("link", F.col("m.page").alias("page"), F.lit(None).cast("string").alias("alias"))
     )
     by_target = redirects.select(F.lower("target").alias("link"), "title")
-    heavy = scale.cut(scale.heavy_keys(by_target, "link"))
-    by_target = scale.cut(scale.split_rows(by_target, "link", heavy, ["title"]))
+    by_target, heavy = scale.for_lookups(by_target, "link", ["title"])
 
     levels, frontier = [found], found
     while True:
@@ -41,8 +40,8 @@ def resolve_redirects(pages: DataFrame, redirects: DataFrame) -> tuple[DataFrame
             .agg(F.min(F.struct("title", "page")).alias("m"))
             .select("link", F.col("m.page").alias("page"), F.col("m.title").alias("alias"))
         )
-        frontier = scale.cut(reached.join(known, "link", "left_anti"))
-        if frontier.isEmpty():
+        frontier, n = scale.cut_counted(reached.join(known, "link", "left_anti"))
+        if n == 0:
             break
         levels = scale.merge_levels(levels + [frontier])
     everything = scale.union_all(levels)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A key holding more rows than this is split over several tasks.
@@ -41,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    stored = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return stored, seen.get["n"]
+
+
 def heavy_keys(df: DataFrame, key: str) -> DataFrame:
     """The keys worth splitting: ``(key, _slots)``, at most ``HEAVY_KEYS`` rows."""
     limit = heavy_rows(df.sparkSession)
@@ -54,15 +61,19 @@ def heavy_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def split_rows(facts: DataFrame, key: str, heavy: DataFrame, spread: list[str] | None = None) -> DataFrame:
+def split_rows(facts: DataFrame, key: str, heavy: DataFrame | None, spread: list[str] | None = None) -> DataFrame:
     """Give every row of a heavy key one of its slots, by a hash of ``spread``."""
+    if heavy is None:
+        return facts.withColumn("_slot", F.lit(0))
     columns = [F.col(c) for c in (spread or [c for c in facts.columns if c != key])]
     slot = F.pmod(F.xxhash64(*columns), F.coalesce("_slots", F.lit(1))).cast("int")
     return facts.join(F.broadcast(heavy), key, "left").withColumn("_slot", slot).drop("_slots")
 
 
-def copy_to_slots(dim: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+def copy_to_slots(dim: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
     """Repeat every row of a heavy key once per slot."""
+    if heavy is None:
+        return dim.withColumn("_slot", F.lit(0))
     slots = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
     return dim.join(F.broadcast(heavy), key, "left").withColumn("_slot", F.explode(slots)).drop("_slots")
 
@@ -74,19 +85,36 @@ def lookup_join(
     how: str = "inner",
     spread: list[str] | None = None,
     heavy: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """``facts`` joined to ``dim`` on ``key`` where ``facts`` may hold hot keys.
 
     The few heavy keys of ``facts`` are split over slots and the matching rows
     of ``dim`` repeated once per slot, so the result is the plain join's.
-    ``how`` may be ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``how`` may be ``inner``, ``left``, ``left_semi`` or ``left_anti``.  A
+    caller that has counted ``facts`` passes ``rows``: a table no larger than
+    one heavy key needs no splitting.
     """
+    if rows is not None and rows <= heavy_rows(facts.sparkSession):
+        return facts.join(dim, key, how)
     heavy = heavy_keys(facts, key) if heavy is None else heavy
     left = split_rows(facts, key, heavy, spread)
     right = copy_to_slots(dim, key, heavy)
     return left.join(right, [key, "_slot"], how).drop("_slot")
 
 
+def for_lookups(facts: DataFrame, key: str, spread: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Store ``facts`` for many joins on ``key``: the rows with ``_slot``, the heavy keys.
+
+    Join ``copy_to_slots(other, key, heavy)`` to it on ``[key, "_slot"]``.
+    """
+    stored, rows = cut_counted(facts)
+    if rows <= heavy_rows(facts.sparkSession):
+        return split_rows(stored, key, None), None
+    heavy = cut(heavy_keys(stored, key))
+    return cut(split_rows(stored, key, heavy, spread)), heavy
+
+
 def with_dense_index(df: DataFrame, order: list[Column], name: str = "index") -> DataFrame:
     """Add the 0-based position of each row in ``order`` (which must be total).
 
