@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.functions.names import _col, url_host
+from quillgraph.functions.names import _col, page_heading, page_name, url_host
 
 LINK = r"\[\[([^\[\]|{}\n]+)(?:\|(?:[^\]]|\](?!\]))*)?\]\]"
 _IMAGE = r"(?is)\[\[\s*(?:file|image)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\]|\[[^\[\]]*\])*\]\]"
@@ -23,29 +23,27 @@ def parse_redirect(text: Column | str, domain: Column | str) -> Column:
     this wiki.  ``error`` is null, ``invalid`` or ``external``.
     """
     text, domain = _col(text), _col(domain)
-    has_link = text.contains("[[")
-    link = F.regexp_extract(text, r"(?s)\[\[(.*?)\]\]", 1)
-    link_ok = text.rlike(r"(?s)\[\[.*?\]\]")
-    at = F.instr(link, "#")
-
-    web = F.regexp_extract(text, r"(?s)\[(http.*?)\]", 1)
-    web_ok = text.rlike(r"(?s)\[http.*?\]") & web.contains(" ")
-    url = F.substring_index(web, " ", 1)
-    title_ok = url.rlike(r"(?s)title=.*?&")
-    on_wiki = F.coalesce(url_host(url) == domain, F.lit(False)) & title_ok
-    title = F.regexp_extract(url, r"(?s)title=(.*?)&", 1)
-
-    name = (
-        F.when(has_link & link_ok, F.substring_index(link, "#", 1))
-        .when(~has_link & web_ok & on_wiki, title)
+    found = F.struct(
+        F.contains(text, F.lit("[[")).alias("wiki"),
+        F.regexp_extract(text, r"(?s)\[\[.*?\]\]", 0).alias("link"),
+        F.regexp_extract(text, r"(?s)\[(http[^\]]*?) [^\]]*\]", 1).alias("url"),
     )
-    heading = F.when(has_link & link_ok & (at > 0), F.substr(link, at + 1))
-    error = (
-        F.when(name.isNotNull(), F.lit(None).cast("string"))
-        .when(has_link | ~web_ok, F.lit("invalid"))
-        .otherwise(F.lit("external"))
-    )
-    return F.struct(name.alias("name"), heading.alias("heading"), error.alias("error"))
+
+    def read(f: Column) -> Column:
+        # Bound once, so the patterns above are not repeated in every branch.
+        page = F.substring(f["link"], 3, F.char_length(f["link"]) - 4)
+        title = F.regexp_extract(f["url"], r"(?s)title=(.*?)&", 1)
+        ours = F.coalesce(url_host(f["url"]) == domain, F.lit(False)) & f["url"].rlike(r"(?s)title=.*?&")
+        none = F.lit(None).cast("string")
+        return (
+            F.when(f["wiki"] & (f["link"] != ""), F.struct(page_name(page), page_heading(page), none))
+            .when(f["wiki"] | (f["url"] == ""), F.struct(none, none, F.lit("invalid")))
+            .when(ours, F.struct(title, none, none))
+            .otherwise(F.struct(none, none, F.lit("external")))
+        )
+
+    parsed = F.transform(F.array(found), read)[0]
+    return parsed.cast("struct<name:string,heading:string,error:string>")
 
 
 def clean_wikitext(text: Column | str) -> Column:
