@@ -242,60 +242,125 @@ def reach_within(edges: DataFrame, starts: DataFrame, k: int = 2, types: list[in
 def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None = None) -> DataFrame:
     """``(source, target, hops, path)`` per distinct pair; nulls when unreachable.
 
-    Searches backwards from each target and keeps, per node, the smallest next
-    node on a shortest way to it.  Following those gives the smallest id
-    sequence among the shortest paths, which is also the one a queue-based
-    search over id-ordered edges finds.  A target whose sources are all reached
-    drops out; the round after the last one finds nothing and ends the loop.
+    Among the shortest paths the smallest id sequence, which is also the one a
+    queue-based search over id-ordered edges finds.
+
+    Searches from both ends, always growing the side with fewer open nodes, so
+    a pair at distance d costs two searches of about half that depth.  A pair
+    is done when the two sides first share a node, or when one side runs dry.
     """
     asked, n_asked = scale.cut_counted(pairs.select("source", "target").distinct())
+    open_pairs = asked.filter("source <> target")
     steps = visible_edges(edges, types).filter("src <> dst").select("src", "dst").distinct()
-    steps, heavy = scale.for_lookups(steps, "dst", ["src"])
-
-    start = asked.filter("source <> target").select("target").distinct().select(
-        "target", F.col("target").alias("node_id"), F.lit(0).alias("left"), F.lit(None).cast("long").alias("next")
+    outward = scale.for_lookups(steps, "src", ["dst"])
+    inward = scale.for_lookups(steps, "dst", ["src"])
+
+    none = F.lit(None).cast("long")
+    forth = [scale.cut_counted(open_pairs.select(F.col("source").alias("end"), F.col("source").alias("node_id"), none.alias("next")).distinct())]
+    back = [scale.cut_counted(open_pairs.select(F.col("target").alias("end"), F.col("target").alias("node_id"), none.alias("next")).distinct())]
+    met: list[tuple[int, int, DataFrame]] = []
+    while forth[-1][1] > 0 and back[-1][1] > 0:
+        waiting = open_pairs
+        if met:
+            done = scale.union_all([m for _, _, m in met]).select("source", "target").distinct()
+            waiting = waiting.join(done, ["source", "target"], "left_anti")
+        sources = forth[-1][0].select(F.col("end").alias("source")).distinct()
+        targets = back[-1][0].select(F.col("end").alias("target")).distinct()
+        waiting = waiting.join(sources, "source", "left_semi").join(targets, "target", "left_semi")
+        if forth[-1][1] <= back[-1][1]:
+            forth.append(_grow(forth, waiting.select(F.col("source").alias("end")).distinct(), outward, "src", "dst"))
+        else:
+            back.append(_grow(back, waiting.select(F.col("target").alias("end")).distinct(), inward, "dst", "src"))
+        here = forth[-1][0].select(F.col("end").alias("source"), "node_id")
+        there = back[-1][0].select(F.col("end").alias("target"), "node_id")
+        reach = scale.lookup_join(here, waiting, "source", spread=["node_id"], rows=forth[-1][1])
+        common, n = scale.cut_counted(reach.join(there, ["target", "node_id"]).select("source", "target", "node_id"))
+        if n > 0:
+            # Open pairs are at least this far apart: no earlier round joined them.
+            apart = len(forth) + len(back) - 2
+            met.append((len(forth) - 1, apart, common.withColumn("hops", F.lit(apart))))
+
+    hops = [asked.filter("source = target").select("source", "target", F.lit(0).alias("hops"))]
+    hops += [m.select("source", "target", "hops").distinct() for _, _, m in met]
+    found = scale.cut(asked.join(scale.union_all(hops), ["source", "target"], "left"))
+    onward = _mark_ways([level for level, _ in forth], met, inward)
+    homeward = scale.union_all([level for level, _ in back]).filter("next is not null")
+    return _walk(found, n_asked, onward, homeward, max((d for _, d, _ in met), default=0))
+
+
+def _grow(levels: list, active: DataFrame, steps: tuple, near: str, far: str) -> tuple[DataFrame, int]:
+    """Next level of a search: new nodes per end and the smallest node they lead to."""
+    rows, heavy = steps
+    frontier, n = levels[-1]
+    frontier = scale.lookup_join(frontier, active, "end", "left_semi", rows=n)
+    here = scale.copy_to_slots(frontier.select("end", F.col("node_id").alias(near)), near, heavy)
+    seen = scale.union_all([level for level, _ in levels]).select("end", "node_id")
+    reached = (
+        here.join(rows, [near, "_slot"])
+        .groupBy("end", F.col(far).alias("node_id"))
+        .agg(F.min(near).alias("next"))
+        .join(seen, ["end", "node_id"], "left_anti")
     )
-    levels, frontier, distance, n = [start], start, 0, n_asked
-    while n > 0:
-        distance += 1
-        seen = scale.union_all(levels).select("target", "node_id")
-        here = scale.copy_to_slots(frontier.select("target", F.col("node_id").alias("dst")), "dst", heavy)
-        reached, n = scale.cut_counted(
-            here.join(steps, ["dst", "_slot"])
-            .groupBy("target", F.col("src").alias("node_id"))
+    return scale.cut_counted(reached)
+
+
+def _mark_ways(forth: list[DataFrame], met: list[tuple[int, int, DataFrame]], inward: tuple) -> DataFrame | None:
+    """``(source, target, node_id, next)`` on the way from a source to a meeting node.
+
+    Goes back from the meeting nodes over the levels the source has reached and
+    keeps only nodes on a shortest path, each with its smallest next node.
+    """
+    rows, heavy = inward
+    ways: list[DataFrame] = []
+    marked: DataFrame | None = None
+    for level in range(max((f for f, _, _ in met), default=0), 0, -1):
+        fresh = [m.select("source", "target", "node_id") for f, _, m in met if f == level]
+        if marked is not None:
+            fresh.append(marked.select("source", "target", "node_id"))
+        if not fresh:
+            continue
+        here = scale.copy_to_slots(scale.union_all(fresh).withColumnRenamed("node_id", "dst"), "dst", heavy)
+        before = forth[level - 1].select(F.col("end").alias("source"), F.col("node_id").alias("src"))
+        marked = scale.cut(
+            here.join(rows, ["dst", "_slot"])
+            .groupBy("source", "target", "src")
             .agg(F.min("dst").alias("next"))
-            .join(seen, ["target", "node_id"], "left_anti")
-            .select("target", "node_id", F.lit(distance).alias("left"), "next")
+            .join(before, ["source", "src"], "left_semi")
+            .select("source", "target", F.col("src").alias("node_id"), "next")
         )
-        levels = scale.merge_levels(levels + [reached])
-        met = scale.union_all(levels).select("target", F.col("node_id").alias("source"))
-        waiting = asked.join(met, ["target", "source"], "left_anti").select("target").distinct()
-        frontier = scale.lookup_join(reached, waiting, "target", "left_semi", rows=n)
-    ways = scale.cut(scale.union_all(levels))
-
-    at_source = ways.select("target", F.col("node_id").alias("source"), F.col("left").alias("hops"))
-    found = asked.join(at_source, ["target", "source"], "left").select(
-        "source", "target", F.when(F.col("source") == F.col("target"), F.lit(0)).otherwise(F.col("hops")).alias("hops")
-    )
-    found = scale.cut(found)
-    longest = found.agg(F.max("hops").alias("m")).first()["m"] or 0
-    walk = found.withColumn("path", F.when(F.col("hops").isNotNull(), F.array("source")))
-    done: list[DataFrame] = [walk.filter("hops is null or hops = 0")]
-    walk = walk.filter("hops > 0").withColumn("here", F.struct("target", F.col("source").alias("node_id")))
-    way = ways.filter("next is not null").select(F.struct("target", "node_id").alias("here"), "next")
+        ways.append(marked)
+    return scale.union_all(ways) if ways else None
+
+
+def _walk(found: DataFrame, n: int, onward: DataFrame | None, homeward: DataFrame, longest: int) -> DataFrame:
+    """Put the paths together: ``onward`` to the meeting node, then ``homeward``.
+
+    Few paths take several steps per job.  With many, each step is stored, so
+    that its hot nodes can be looked up before the next join.
+    """
+    at_once = WALK_STEPS if n <= scale.heavy_rows(found.sparkSession) else 1
+    path = F.when(F.col("hops").isNotNull(), F.array("source"))
+    walk = found.withColumn("path", path).withColumn("at", F.col("source"))
+    done = [walk.filter("hops is null or hops = 0")]
+    if onward is None:
+        return done[0].select("source", "target", "hops", "path")
+    walk = walk.filter("hops > 0")
+    out = scale.cut(onward).select("source", "target", F.col("node_id").alias("at"), F.col("next").alias("out"))
+    home = scale.cut(homeward).select(F.struct(F.col("end").alias("target"), F.col("node_id").alias("at")).alias("here"), F.col("next").alias("home"))
     for step in range(1, longest + 1):
         # A path that has arrived finds no next node and stays as it is.
-        walk = (
-            scale.lookup_join(walk, way, "here", "left", spread=["source"], rows=n_asked)
-            .withColumn("path", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))))
-            .withColumn("here", F.struct("target", F.coalesce("next", "target").alias("node_id")))
-            .drop("next")
+        walk = walk.join(out, ["source", "target", "at"], "left").withColumn("here", F.struct("target", "at"))
+        walk = scale.lookup_join(walk, home, "here", "left", spread=["source"], rows=n)
+        to = F.coalesce("out", "home")
+        walk = walk.select(
+            "source", "target", "hops",
+            F.when(to.isNull(), F.col("path")).otherwise(F.concat("path", F.array(to))).alias("path"),
+            F.coalesce(to, "at").alias("at"),
         )
-        if step % WALK_STEPS == 0:
+        if step % at_once == 0 or step == longest:
             walk = scale.cut(walk)
             done.append(walk.filter(F.col("hops") <= step))
             walk = walk.filter(F.col("hops") > step)
-    done.append(walk)
     return scale.union_all([d.select("source", "target", "hops", "path") for d in done])
 
 

@@ -74,6 +74,7 @@ def core_window(points: DataFrame, sigma: float = 2.0) -> DataFrame:
 
 def layout_stats(points: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of figures on ``points(node_id, x, y, degree)`` and its edges."""
+    points = scale.cut(points.select("node_id", "x", "y", "degree"))
     bad = F.isnan("x") | F.isnan("y")
     endless = (F.abs("x") == float("inf")) | (F.abs("y") == float("inf"))
     base = points.agg(
@@ -89,7 +90,7 @@ def layout_stats(points: DataFrame, edges: DataFrame) -> DataFrame:
     tenths = [F.floor(F.col(c) * 10 + 0.5).alias(c) for c in ("x", "y")]
     shared = points.groupBy(*tenths).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))
 
-    lengths = edge_lengths(points, edges)
+    lengths = scale.cut(edge_lengths(points, edges))
     span = lengths.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.min("length").alias("lo"), F.avg("length").alias("mid"), F.max("length").alias("hi"))
     ).scalar()
