@@ -150,49 +150,64 @@ def edge_jaccard(edges: DataFrame) -> DataFrame:
     return ends.join(scored, ["a", "b"]).select("src", "dst", "ty", "jaccard")
 
 
+def _shuffled(key: str):
+    """Another order of 64-bit ids: xor and shift steps, each of them reversible."""
+    key = F.col(key)
+    for _ in range(2):
+        key = key.bitwiseXOR(F.shiftleft(key, 13))
+        key = key.bitwiseXOR(F.shiftrightunsigned(key, 7))
+        key = key.bitwiseXOR(F.shiftleft(key, 17))
+    return key
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node_id, component)``; a component is named by its smallest member.
 
     Each round every node points to its smallest neighbour, pointers are
     followed once more, and the graph is contracted to the nodes pointed to.
-    The rounds shrink; their pointers are put together from the last, smallest
-    one back to the first.
+    Ids are shuffled anew for each round, so a chain of ascending ids shrinks
+    as fast as any other graph.  The pointers of all rounds are put together
+    from the last, smallest one back to the first.
     """
-    pairs, n = scale.cut_counted(
-        edges.filter("src <> dst")
-        .select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
-        .distinct()
-    )
+    limit = scale.heavy_rows(edges.sparkSession)
+    links = edges.filter("src <> dst").select(_shuffled("src").alias("a"), _shuffled("dst").alias("b"))
+    smaller = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
+    pairs, n = scale.cut_counted(links.select(*smaller).distinct())
     steps: list[tuple[DataFrame, int]] = []
     while n > 0:
         both = pairs.select("u", "v").union(pairs.select("v", "u"))
         up = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         over = up.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        step = scale.cut(scale.lookup_join(up, over, "m", rows=2 * n).select("u", F.col("mm").alias("root")))
-        steps.append((step, 2 * n))
+        found = scale.lookup_join(up, over, "m", rows=2 * n)
+        step, size = scale.cut_counted(found.select("u", _shuffled("mm").alias("root")))
+        steps.append((step, size))
         hot = scale.heavy_keys(pairs, "v")
         left = scale.lookup_join(pairs, step, "u", rows=n).select("v", F.col("root").alias("a"))
         there = step.select(F.col("u").alias("v"), F.col("root").alias("b"))
         right = scale.lookup_join(left, there, "v", heavy=hot, rows=n)
-        pairs, n = scale.cut_counted(
-            right.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        )
+        pairs, n = scale.cut_counted(right.filter("a <> b").select(*smaller).distinct())
     if not steps:
         return nodes.select("node_id", F.col("node_id").alias("component"))
-    whole, _ = steps[-1]
-    for step, size in reversed(steps[:-1]):
-        later = whole.select(F.col("u").alias("root"), F.col("root").alias("final"))
+    # A root is named by its key and the round that ended its component.
+    whole = steps[-1][0].select("u", F.struct(F.lit(len(steps)).alias("round"), "root").alias("group"))
+    for round_, (step, size) in reversed(list(enumerate(steps[:-1], 1))):
+        later = whole.select(F.col("u").alias("root"), "group")
         joined = scale.lookup_join(step, later, "root", "left", rows=size)
-        whole = joined.select("u", F.coalesce("final", "root").alias("root"))
-    named = whole.select(F.col("u").alias("node_id"), F.col("root").alias("component"))
-    full = nodes.select("node_id").join(named, "node_id", "left")
-    return full.select("node_id", F.coalesce("component", "node_id").alias("component"))
+        ended = F.struct(F.lit(round_).alias("round"), "root")
+        whole = joined.select("u", F.coalesce("group", ended).alias("group"))
+        whole = scale.cut(whole) if size > limit else whole
+    keyed = nodes.select("node_id", _shuffled("node_id").alias("u")).join(whole, "u", "left")
+    keyed, n = scale.cut_counted(keyed.select("node_id", "group"))
+    names = keyed.filter("group is not null").groupBy("group").agg(F.min("node_id").alias("component"))
+    named = scale.lookup_join(keyed, names, "group", "left", spread=["node_id"], rows=n)
+    return named.select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def component_sizes(components: DataFrame, isolated_up_to: int = 5) -> DataFrame:
     """Size of each node's component; small components count as isolated."""
+    components, n = scale.cut_counted(components)
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = scale.lookup_join(components, sizes, "component")
+    sized = scale.lookup_join(components, sizes, "component", rows=n)
     return sized.select("node_id", "component", "size", (F.col("size") <= isolated_up_to).alias("isolated"))
 
 
