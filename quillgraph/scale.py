@@ -27,17 +27,22 @@ def heavy_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("quillgraph.heavyRows", str(HEAVY_ROWS)))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of its own only for a session without executors elsewhere."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillgraph.checkpointDir", None)
+    if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="quillgraph-")
+        spark.conf.set("quillgraph.checkpointDir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="quillgraph-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
