@@ -16,14 +16,24 @@ FOLDS = 5
 CHARS = 2 << 20
 
 
-def training_ids(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """``(doc_id, y)``: at most ``per_class`` rows of each label, none of the held-out fold.
+def told_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, y)`` outside the held-out fold.
 
-    They are the rows with the smallest hash of their id.  Rows without an id
-    or label do not take part; of several labels of one id the largest counts.
+    Rows without an id or label do not take part; of several labels of one id
+    the largest counts.
     """
     told = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", FOLDS) != 0))
-    told = told.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    return told.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+
+
+def sample_ids(labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled ids, those with the smallest hash."""
+    return told_labels(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def training_ids(labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """At most ``per_class`` labelled ids of either label, those with the smallest hash."""
+    told = told_labels(labels, label)
     parts = [told.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     return parts[0].unionByName(parts[1])
 

@@ -26,11 +26,11 @@ BITS = 19
 ORDERS = (4, 5, 6)
 PER_CLASS = 1_500
 THRESHOLD = 0.5
-SMOOTHING = 1.0
+SMOOTHING = 0.3
 PENALTY = 1e-2
-STEPS = 80
-# A feature seen in fewer training texts says nothing.
-LEAST = 3
+STEPS = 800
+# A feature counts if its shares in the two classes differ by so many standard errors.
+CLEAR = 4.0
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +74,16 @@ def fit(text: np.ndarray, feature: np.ndarray, y: np.ndarray) -> Model:
     if n == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (n + 1)
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    common = np.bincount(feature, minlength=size) >= LEAST
-    text, feature = text[common[feature]], feature[common[feature]]
     toxic = y[text] == 1
     p = SMOOTHING + np.bincount(feature[toxic], minlength=size)
     q = SMOOTHING + np.bincount(feature[~toxic], minlength=size)
-    ratio = np.log((p / p[common].sum()) / (q / q[common].sum())) * common
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    one, other = y.sum(), n - y.sum()
+    share = (p + q) / (n + 2 * SMOOTHING)
+    clear = np.abs(p / one - q / other) > CLEAR * np.sqrt(share * np.maximum(1 - share, 0) * (1 / one + 1 / other))
+    ratio = ratio * clear
+    kept = clear[feature]
+    text, feature = text[kept], feature[kept]
     # Texts have unit length in scaled features on average, so one step size suits all data.
     values = ratio[feature]
     scale = np.sqrt(max(np.bincount(text, values**2, n).mean(), 1e-12))
