@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import chat, exact, mixing, packing, quality, sharding, simhash, toxicity
+from quillgraph.llm import chat, exact, lm, mixing, packing, quality, sharding, simhash, toxicity
 from quillgraph.llm.common import fold, table
 from quillgraph.llm.registry import query
 
 SHARD_BYTES = 1 << 20
 
 
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op4_exact_dedup",
     """
