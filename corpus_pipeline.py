@@ -12,28 +12,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph import scale
-from quillgraph.llm import exact, packing
+from quillgraph.llm import exact, mixing, packing, simhash, toxicity
 from quillgraph.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact.drop_repeats(docs).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicate documents the one with the smallest id stays."""
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mix(docs, whole=True).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its ids and its place in a sequence."""
     return packing.pack_documents(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("mixing", mix_sources),
     ("best_fit_packing", pack),
 ]
 
-# A classifier trained on labels and tokenizers have no SQL; tests hold the stages against brute force.
+# A trained classifier and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -72,7 +72,7 @@ def tilts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``(key, source_size, target, tilt)``: the Newton iterations on the dual."""
     sizes = scale.cut(rows.filter("size > 0").groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
     least = sizes.groupBy("key").agg(F.min("size").alias("least"))
-    ratio = F.log(F.col("target") / F.col("source_size"))
+    ratio = F.log(F.try_divide("target", "source_size"))
     state = targets.join(least, "key", "left").select(
         "key", "source_size", "target", F.lit(0.0).alias("tilt"),
         # At the lower end no rate is above target / size, at the upper end all are at the cap.
@@ -92,7 +92,7 @@ def tilts(rows: DataFrame, targets: DataFrame) -> DataFrame:
         )
         miss = F.col("taken") - F.col("target")
         lo, hi = F.when(miss < 0, F.col("tilt")).otherwise(F.col("lo")), F.when(miss > 0, F.col("tilt")).otherwise(F.col("hi"))
-        step = F.col("tilt") - miss / F.col("slope")
+        step = F.col("tilt") - F.try_divide(miss, F.col("slope"))
         close = (F.abs(miss) <= CLOSE * F.col("target")) | (hi - lo <= 1e-15 * F.greatest(F.abs(lo), F.abs(hi)))
         inside = (step > lo) & (step < hi)
         done = F.col("done") | F.coalesce(close, F.lit(True))
