@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from quillgraph.functions.names import _col, page_heading, page_name, url_host
 
-LINK = r"\[\[([^\[\]|{}\n]+)(?:\|(?:[^\]]|\](?!\]))*)?\]\]"
-_IMAGE = r"(?is)\[\[\s*(?:file|image)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\]|\[[^\[\]]*\])*\]\]"
+# Possessive runs: a greedy group would take a stack level per character.
+LINK = r"\[\[([^\[\]|{}\n]++)(?:\|(?:[^\]]++|\](?!\]))*+)?+\]\]"
+_IMAGE = r"(?is)\[\[\s*(?:file|image)\s*:(?:[^\[\]]++|\[\[[^\[\]]*+\]\]|\[[^\[\]]*+\])*+\]\]"
 _CATEGORY = r"(?i)^\s*category\s*:"
 
 
@@ -65,8 +66,8 @@ def plain_text(text: Column | str) -> Column:
     out = F.regexp_replace(_col(text), r"(?is)<br\b.*$", "")
     out = F.regexp_replace(out, r"(?is)<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref>", "")
     out = F.regexp_replace(out, _IMAGE, "")
-    out = F.regexp_replace(out, r"(?s)\[\[(?:[^\[\]|]*\|)?((?:[^\[\]])*)\]\]", "$1")
-    out = F.regexp_replace(out, r"(?s)\{\{(?:[^{}]|\{\{[^{}]*\}\})*\}\}", "")
+    out = F.regexp_replace(out, r"(?s)\[\[(?:[^\[\]|]*\|)?([^\[\]]*+)\]\]", "$1")
+    out = F.regexp_replace(out, r"(?s)\{\{(?:[^{}]++|\{\{[^{}]*+\}\})*+\}\}", "")
     out = F.regexp_replace(out, r"<[^>]*>|'{2,}", "")
     return F.trim(F.regexp_replace(out, r"^\s+|\s+$", ""))
 

@@ -19,6 +19,7 @@ _MARK = re.compile(
     re.S | re.M | re.I,
 )
 _NEST = re.compile(r"<nowiki>.*?</nowiki>|\{\{|\}\}|\[\[|\]\]|\{\||\|\}(?!\})|\||=|\n", re.S | re.I)
+_STOP = re.compile(r"\{\{|\[\[|\n")
 _PAIR = {"{{": "}}", "[[": "]]", "{|": "|}"}
 _IMAGE = re.compile(r"\[\[\s*(?:file|image)\s*:", re.I)
 
@@ -28,34 +29,32 @@ LEAD_TEMPLATES = {"nihongo", "transliteration", "tlit", "transl", "lang"}
 SKIPPED_PREFIX = "use"
 
 
-def _closing(text: str, start: int) -> int:
-    """End of the bracket opened at ``start``; ``start`` itself if unclosed."""
-    want: list[str] = []
-    for token in _NEST.finditer(text, start):
+def _ends(text: str) -> dict[int, int]:
+    """End of every bracket by its start, in one pass; an unclosed one ends where it starts."""
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    for token in _NEST.finditer(text):
         mark = token.group()
         if mark in _PAIR:
-            want.append(_PAIR[mark])
-        elif want and mark == want[-1]:
-            want.pop()
-            if not want:
-                return token.end()
-    return start
+            open_.append((_PAIR[mark], token.start()))
+            ends[token.start()] = token.start()
+        elif open_ and mark == open_[-1][0]:
+            ends[open_.pop()[1]] = token.end()
+    return ends
 
 
-def _line_end(text: str, start: int) -> int:
+def _line_end(text: str, start: int, ends: dict[int, int]) -> int:
     """End of a list item: the first line break outside any bracket."""
-    at = start
-    while True:
-        token = re.compile(r"\{\{|\[\[|\n").search(text, at)
-        if token is None:
-            return len(text)
+    for token in iter(lambda: _STOP.search(text, start), None):
         if token.group() == "\n":
             return token.start()
-        at = max(_closing(text, token.start()), token.end())
+        start = max(ends.get(token.start(), 0), token.end())
+    return len(text)
 
 
 def _pieces(text: str) -> Iterator[tuple[str, int, int]]:
     """Top-level pieces in order: text, template, heading, ref or image."""
+    ends = _ends(text)
     at = shown = 0
     while (mark := _MARK.search(text, at)) is not None:
         start, kind = mark.start(), mark.lastgroup
@@ -64,13 +63,13 @@ def _pieces(text: str) -> Iterator[tuple[str, int, int]]:
         elif mark.group("ref"):
             kind, end = "ref", mark.end()
         elif mark.group("item"):
-            at = _line_end(text, mark.end())
+            at = _line_end(text, mark.end(), ends)
             continue
         elif mark.group("nowiki"):
             at = mark.end()
             continue
         else:
-            end = _closing(text, start)
+            end = ends.get(start, start)
             if end == start or mark.group() == "{|":
                 at = max(end, mark.end())
                 continue

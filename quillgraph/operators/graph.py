@@ -15,9 +15,6 @@ from quillgraph import scale
 SUSPICIOUS_MIN_DEGREE = 15
 SUSPICIOUS_RATIO = 5.0
 
-# Steps of a found path put together in one job.
-WALK_STEPS = 5
-
 
 def visible_edges(edges: DataFrame, types: list[int] | None = None) -> DataFrame:
     """Edges of the enabled types; all of them by default."""
@@ -99,22 +96,24 @@ def edge_jaccard(edges: DataFrame) -> DataFrame:
     a hub is never expanded for its leaves.  Node pairs with very many possible
     common neighbours are split over slots on both sides of the join.
     """
-    limit = scale.heavy_rows(edges.sparkSession)
-    pairs = neighbour_sets(edges)
-    degrees = pairs.groupBy("node_id").agg(F.count(F.lit(1)).alias("d"))
+    pairs = scale.cut(neighbour_sets(edges))
+    degrees = scale.cut(pairs.groupBy("node_id").agg(F.count(F.lit(1)).alias("d")))
+    # Every pair is there both ways round: a node has as many rows as neighbour.
+    hot = scale.cut(scale.heavy_of(degrees, "node_id", "d"))
+    limit = scale.fair_rows(degrees, "d")
     near = scale.lookup_join(
-        scale.lookup_join(pairs, degrees, "node_id"),
+        scale.lookup_join(pairs, degrees, "node_id", heavy=hot),
         degrees.select(F.col("node_id").alias("neighbour"), F.col("d").alias("nd")),
         "neighbour",
-        heavy=scale.heavy_keys(pairs, "neighbour"),
+        heavy=hot.withColumnRenamed("node_id", "neighbour"),
     )
     near = scale.cut(near.select("node_id", "neighbour", "d", "nd"))
 
     def slots(a: str, b: str):
-        return F.ceil(F.least(a, b) / F.lit(limit)).cast("int")
+        return F.ceil(F.least(a, b) / limit).cast("int")
 
     lower = (F.col("d") < F.col("nd")) | ((F.col("d") == F.col("nd")) & (F.col("node_id") <= F.col("neighbour")))
-    own_slots = F.ceil(F.col("d") / F.lit(limit)).cast("int")
+    own_slots = F.ceil(F.col("d") / limit).cast("int")
     probes = near.filter(lower).select(
         F.col("node_id").alias("low"), F.col("neighbour").alias("high"), F.col("nd").alias("high_d"),
         F.pmod(F.xxhash64("neighbour"), own_slots).cast("int").alias("_slot"),
@@ -169,7 +168,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     as fast as any other graph.  The pointers of all rounds are put together
     from the last, smallest one back to the first.
     """
-    limit = scale.heavy_rows(edges.sparkSession)
     links = edges.filter("src <> dst").select(_shuffled("src").alias("a"), _shuffled("dst").alias("b"))
     smaller = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
     pairs, n = scale.cut_counted(links.select(*smaller).distinct())
@@ -178,13 +176,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         both = pairs.select("u", "v").union(pairs.select("v", "u"))
         up = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         over = up.select(F.col("u").alias("m"), F.col("m").alias("mm"))
-        found = scale.lookup_join(up, over, "m", rows=2 * n)
+        found = scale.lookup_join(up, over, "m")
         step, size = scale.cut_counted(found.select("u", _shuffled("mm").alias("root")))
         steps.append((step, size))
-        hot = scale.heavy_keys(pairs, "v")
-        left = scale.lookup_join(pairs, step, "u", rows=n).select("v", F.col("root").alias("a"))
+        hot = scale.cut(scale.heavy_keys(pairs, "v"))
+        left = scale.lookup_join(pairs, step, "u", stored=True).select("v", F.col("root").alias("a"))
         there = step.select(F.col("u").alias("v"), F.col("root").alias("b"))
-        right = scale.lookup_join(left, there, "v", heavy=hot, rows=n)
+        right = scale.lookup_join(left, there, "v", heavy=hot)
         pairs, n = scale.cut_counted(right.filter("a <> b").select(*smaller).distinct())
     if not steps:
         return nodes.select("node_id", F.col("node_id").alias("component"))
@@ -192,14 +190,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     whole = steps[-1][0].select("u", F.struct(F.lit(len(steps)).alias("round"), "root").alias("group"))
     for round_, (step, size) in reversed(list(enumerate(steps[:-1], 1))):
         later = whole.select(F.col("u").alias("root"), "group")
-        joined = scale.lookup_join(step, later, "root", "left", rows=size)
+        joined = scale.lookup_join(step, later, "root", "left", stored=True)
         ended = F.struct(F.lit(round_).alias("round"), "root")
         whole = joined.select("u", F.coalesce("group", ended).alias("group"))
-        whole = scale.cut(whole) if size > limit else whole
+        whole = scale.cut(whole)
     keyed = nodes.select("node_id", _shuffled("node_id").alias("u")).join(whole, "u", "left")
     keyed, n = scale.cut_counted(keyed.select("node_id", "group"))
     names = keyed.filter("group is not null").groupBy("group").agg(F.min("node_id").alias("component"))
-    named = scale.lookup_join(keyed, names, "group", "left", spread=["node_id"], rows=n)
+    named = scale.lookup_join(keyed, names, "group", "left", spread=["node_id"], stored=True)
     return named.select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
@@ -207,7 +205,7 @@ def component_sizes(components: DataFrame, isolated_up_to: int = 5) -> DataFrame
     """Size of each node's component; small components count as isolated."""
     components, n = scale.cut_counted(components)
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = scale.lookup_join(components, sizes, "component", rows=n)
+    sized = scale.lookup_join(components, sizes, "component", stored=True)
     return sized.select("node_id", "component", "size", (F.col("size") <= isolated_up_to).alias("isolated"))
 
 
@@ -264,7 +262,7 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None =
     a pair at distance d costs two searches of about half that depth.  A pair
     is done when the two sides first share a node, or when one side runs dry.
     """
-    asked, n_asked = scale.cut_counted(pairs.select("source", "target").distinct())
+    asked = scale.cut(pairs.select("source", "target").distinct())
     open_pairs = asked.filter("source <> target")
     steps = visible_edges(edges, types).filter("src <> dst").select("src", "dst").distinct()
     outward = scale.for_lookups(steps, "src", ["dst"])
@@ -288,7 +286,7 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None =
             back.append(_grow(back, waiting.select(F.col("target").alias("end")).distinct(), inward, "dst", "src"))
         here = forth[-1][0].select(F.col("end").alias("source"), "node_id")
         there = back[-1][0].select(F.col("end").alias("target"), "node_id")
-        reach = scale.lookup_join(here, waiting, "source", spread=["node_id"], rows=forth[-1][1])
+        reach = scale.lookup_join(here, waiting, "source", spread=["node_id"], stored=True)
         common, n = scale.cut_counted(reach.join(there, ["target", "node_id"]).select("source", "target", "node_id"))
         if n > 0:
             # Open pairs are at least this far apart: no earlier round joined them.
@@ -300,14 +298,14 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None =
     found = scale.cut(asked.join(scale.union_all(hops), ["source", "target"], "left"))
     onward = _mark_ways([level for level, _ in forth], met, inward)
     homeward = scale.union_all([level for level, _ in back]).filter("next is not null")
-    return _walk(found, n_asked, onward, homeward, max((d for _, d, _ in met), default=0))
+    return _walk(found, onward, homeward, max((d for _, d, _ in met), default=0))
 
 
 def _grow(levels: list, active: DataFrame, steps: tuple, near: str, far: str) -> tuple[DataFrame, int]:
     """Next level of a search: new nodes per end and the smallest node they lead to."""
     rows, heavy = steps
     frontier, n = levels[-1]
-    frontier = scale.lookup_join(frontier, active, "end", "left_semi", rows=n)
+    frontier = scale.lookup_join(frontier, active, "end", "left_semi", stored=True)
     here = scale.copy_to_slots(frontier.select("end", F.col("node_id").alias(near)), near, heavy)
     seen = scale.union_all([level for level, _ in levels]).select("end", "node_id")
     reached = (
@@ -347,13 +345,12 @@ def _mark_ways(forth: list[DataFrame], met: list[tuple[int, int, DataFrame]], in
     return scale.union_all(ways) if ways else None
 
 
-def _walk(found: DataFrame, n: int, onward: DataFrame | None, homeward: DataFrame, longest: int) -> DataFrame:
+def _walk(found: DataFrame, onward: DataFrame | None, homeward: DataFrame, longest: int) -> DataFrame:
     """Put the paths together: ``onward`` to the meeting node, then ``homeward``.
 
-    Few paths take several steps per job.  With many, each step is stored, so
-    that its hot nodes can be looked up before the next join.
+    Each step is stored, so that its hot nodes can be looked up before the next
+    join.
     """
-    at_once = WALK_STEPS if n <= scale.heavy_rows(found.sparkSession) else 1
     path = F.when(F.col("hops").isNotNull(), F.array("source"))
     walk = found.withColumn("path", path).withColumn("at", F.col("source"))
     done = [walk.filter("hops is null or hops = 0")]
@@ -365,17 +362,16 @@ def _walk(found: DataFrame, n: int, onward: DataFrame | None, homeward: DataFram
     for step in range(1, longest + 1):
         # A path that has arrived finds no next node and stays as it is.
         walk = walk.join(out, ["source", "target", "at"], "left").withColumn("here", F.struct("target", "at"))
-        walk = scale.lookup_join(walk, home, "here", "left", spread=["source"], rows=n)
+        walk = scale.lookup_join(walk, home, "here", "left", spread=["source"], stored=True)
         to = F.coalesce("out", "home")
         walk = walk.select(
             "source", "target", "hops",
             F.when(to.isNull(), F.col("path")).otherwise(F.concat("path", F.array(to))).alias("path"),
             F.coalesce(to, "at").alias("at"),
         )
-        if step % at_once == 0 or step == longest:
-            walk = scale.cut(walk)
-            done.append(walk.filter(F.col("hops") <= step))
-            walk = walk.filter(F.col("hops") > step)
+        walk = scale.cut(walk)
+        done.append(walk.filter(F.col("hops") <= step))
+        walk = walk.filter(F.col("hops") > step)
     return scale.union_all([d.select("source", "target", "hops", "path") for d in done])
 
 
@@ -426,17 +422,18 @@ def suspicious_edges(
     )
     source = degrees.select(F.col("node_id").alias("src"), F.col("degree").alias("src_degree"))
     label = nodes.select("node_id", "label")
-    derived = edges.filter("ty = 0")
-    hot = scale.heavy_keys(derived, "src")
-    flagged = scale.lookup_join(scale.lookup_join(derived, target, "dst"), source, "src", heavy=hot).filter(
+    derived = scale.cut(edges.filter("ty = 0"))
+    hot = scale.cut(scale.heavy_keys(derived, "src"))
+    hot_target = scale.cut(scale.heavy_keys(derived, "dst"))
+    flagged = scale.lookup_join(scale.lookup_join(derived, target, "dst", heavy=hot_target), source, "src", heavy=hot).filter(
         (F.col("src_degree") < F.col("dst_degree"))
         & (F.col("dst_degree") / F.greatest("src_degree", F.lit(1)) >= SUSPICIOUS_RATIO)
     )
     named = scale.lookup_join(
         flagged, label.select(F.col("node_id").alias("dst"), F.col("label").alias("dst_label")), "dst",
-        heavy=scale.heavy_keys(derived, "dst"),
+        heavy=hot_target,
     )
-    named = named.join(label.select(F.col("node_id").alias("src"), F.col("label").alias("src_label")), "src")
+    named = scale.lookup_join(named, label.select(F.col("node_id").alias("src"), F.col("label").alias("src_label")), "src", heavy=hot)
     for reviewed in (accepted, rejected):
         if reviewed is not None:
             named = named.join(reviewed, ["src_label", "dst_label", "ty"], "left_anti")

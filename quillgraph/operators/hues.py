@@ -25,7 +25,7 @@ def spread_hue(rank: Column) -> Column:
 
 
 def hue_seeds(degrees: DataFrame, k: int = SEEDS) -> DataFrame:
-    """The ``k`` best linked nodes with evenly spread hues; ties by node id."""
+    """The ``k`` nodes of highest degree with evenly spread hues; ties by node id."""
     top = degrees.orderBy(F.desc("degree"), "node_id").limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("degree"), "node_id")) - 1
     return top.withColumn("rank", rank).select("node_id", "rank", spread_hue(F.col("rank")).alias("hue"))
@@ -43,7 +43,7 @@ def propagate_hues(
     degrees = scale.cut(degree(edges, nodes))
     seeded = scale.cut(hue_seeds(degrees, seeds).select("node_id", "hue"))
     weight = degrees.select(F.col("node_id").alias("src"), F.col("degree").alias("weight"))
-    pull = edges.join(F.broadcast(seeded.select(F.col("node_id").alias("dst"))), "dst", "left_anti")
+    pull = edges.join(seeded.select(F.col("node_id").alias("dst")), "dst", "left_anti")
     pull, heavy = scale.for_lookups(pull.select("src", "dst", "ty"), "src", ["dst", "ty"])
     pull = scale.cut(pull.join(scale.copy_to_slots(weight, "src", heavy), ["src", "_slot"]))
 

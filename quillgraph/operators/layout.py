@@ -27,7 +27,8 @@ def close_pairs(points: DataFrame, d: float) -> DataFrame:
     """
     cell = F.struct(F.floor(F.col("x") / d).alias("cx"), F.floor(F.col("y") / d).alias("cy"))
     places = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).select("x", "y", cell.alias("cell"))
-    heavy = scale.heavy_keys(places, "cell")
+    places = scale.cut(places)
+    heavy = scale.cut(scale.heavy_keys(places, "cell"))
     right = scale.split_rows(places, "cell", heavy).select("cell", "_slot", F.col("x").alias("x2"), F.col("y").alias("y2"))
     around = F.array(
         *[
@@ -47,9 +48,16 @@ def close_pairs(points: DataFrame, d: float) -> DataFrame:
         .filter(once & (F.col("gap") < d * d) & (F.col("gap") >= COINCIDENT))
         .select("x", "y", "x2", "y2", F.sqrt("gap").alias("dist"))
     )
-    first = points.select("x", "y", F.col("node_id").alias("a"))
-    second = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("node_id").alias("b"))
-    named = near.join(first, ["x", "y"]).join(second, ["x2", "y2"])
+    # Many nodes may stand on one place: its rows are split, and the pairs of places repeated for each part.
+    at = scale.cut(points.select(F.struct("x", "y").alias("place"), "node_id"))
+    crowd = scale.cut(scale.heavy_keys(at, "place"))
+
+    def nodes_at(pairs: DataFrame, x: str, y: str, name: str) -> DataFrame:
+        left = scale.copy_to_slots(pairs.withColumn("place", F.struct(F.col(x).alias("x"), F.col(y).alias("y"))), "place", crowd)
+        right = scale.split_rows(at, "place", crowd, ["node_id"]).withColumnRenamed("node_id", name)
+        return left.join(right, ["place", "_slot"]).drop("place", "_slot")
+
+    named = nodes_at(nodes_at(near, "x", "y", "a"), "x2", "y2", "b")
     return named.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "dist")
 
 
@@ -113,8 +121,9 @@ def edge_lengths(points: DataFrame, edges: DataFrame) -> DataFrame:
     at = points.select("node_id", "x", "y")
     source = at.select(F.col("node_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     target = at.select(F.col("node_id").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty_"))
-    hot = scale.heavy_keys(edges, "dst")
-    both = scale.lookup_join(scale.lookup_join(edges.select("src", "dst", "ty"), source, "src"), target, "dst", heavy=hot)
+    edges = scale.cut(edges.select("src", "dst", "ty"))
+    hot = scale.cut(scale.heavy_keys(edges, "dst"))
+    both = scale.lookup_join(scale.lookup_join(edges, source, "src", stored=True), target, "dst", heavy=hot)
     dx, dy = F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty_")
     return both.select("src", "dst", "ty", F.sqrt(dx * dx + dy * dy).alias("length"))
 

@@ -79,10 +79,12 @@ def links_to_tracked(pagelinks: DataFrame, targets: DataFrame) -> DataFrame:
 def inbound_counts(pagelinks: DataFrame, targets: DataFrame, tracked: DataFrame) -> DataFrame:
     """``(title, n)`` for every tracked title, 0 when nothing links to it.
 
-    Links are counted per target id before any join, so a target that a third
-    of all links lead to crosses the network as one row per map task.
+    Links to other targets, nearly all of them, go before the count: the
+    tracked ids are few.  Then links are counted per target id, so a target that
+    a third of all links lead to crosses the network as one row per map task.
     """
-    per_target = pagelinks.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
+    wanted = targets.select(F.col("lt_id").alias("target_id"))
+    per_target = pagelinks.join(wanted, "target_id", "left_semi").groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
     counted = (
         per_target.join(targets, per_target["target_id"] == targets["lt_id"])
         .groupBy("title")
@@ -93,12 +95,10 @@ def inbound_counts(pagelinks: DataFrame, targets: DataFrame, tracked: DataFrame)
 
 def aggregated_link_count(pages: DataFrame, aliases: DataFrame, counts: DataFrame) -> DataFrame:
     """``(page, links)``: own count, if it is a root page, plus its aliases'."""
-    own = pages.select("page", F.when(names.page_heading("page").isNull(), F.col("page")).alias("title"))
+    own = pages.select("page").filter(names.page_heading("page").isNull()).withColumn("title", F.col("page"))
     via = scale.lookup_join(aliases, pages.select("page"), "page", "left_semi")
     via = via.select("page", F.col("alias").alias("title"))
-    return (
-        own.unionByName(via)
-        .join(counts, "title", "left")
-        .groupBy("page")
-        .agg(F.sum(F.coalesce("n", F.lit(0))).alias("links"))
-    )
+    counted = own.unionByName(via).join(counts, "title").select("page", "n")
+    # Every page is there once with nothing, so none is lost; no null title enters the join.
+    none = pages.select("page", F.lit(0).cast("long").alias("n"))
+    return counted.unionByName(none).groupBy("page").agg(F.sum("n").alias("links"))

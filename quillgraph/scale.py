@@ -16,15 +16,20 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A key holding more rows than this is split over several tasks.
-HEAVY_ROWS = 1_000_000
-# At most this many keys are split.  Any key outside the list holds less than
-# 1/1024 of the rows, and the list itself is small enough to broadcast.
-HEAVY_KEYS = 1_024
+# A key is heavy if it holds more rows than this share of an even task's.
+SHARE = 0.25
 
 
-def heavy_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("quillgraph.heavyRows", str(HEAVY_ROWS)))
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fair_rows(counts: DataFrame, n: str = "_n") -> Column:
+    """Rows that a key may hold without being split: a share of the rows per task, as a scalar."""
+    spark = counts.sparkSession
+    share = float(spark.conf.get("quillgraph.heavyShare", str(SHARE)))
+    fair = F.coalesce(F.floor(F.sum(n) * share / _tasks(spark)), F.lit(0))
+    return counts.agg(F.greatest(fair, F.lit(2)).cast("long").alias("fair")).scalar()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,31 +59,30 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def heavy_keys(df: DataFrame, key: str) -> DataFrame:
-    """The keys worth splitting: ``(key, _slots)``, at most ``HEAVY_KEYS`` rows."""
-    limit = heavy_rows(df.sparkSession)
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > limit)
-        .orderBy(F.desc("_n"), F.col(key))
-        .limit(HEAVY_KEYS)
-        .select(key, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_slots"))
-    )
+    """The keys worth splitting: ``(key, _slots)``.
+
+    A key is split when it holds more than ``SHARE`` of an even task's rows, so
+    there are at most tasks / ``SHARE`` such keys, whatever the data: the list
+    may be broadcast, and no key outside it weighs on a task.
+    """
+    return heavy_of(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
+
+
+def heavy_of(counts: DataFrame, key: str, n: str = "_n") -> DataFrame:
+    """``heavy_keys`` from rows that have been counted already."""
+    told = counts.withColumn("_fair", fair_rows(counts, n)).filter(F.col(n) > F.col("_fair"))
+    return told.select(key, F.ceil(F.col(n) / F.col("_fair")).cast("int").alias("_slots"))
 
 
-def split_rows(facts: DataFrame, key: str, heavy: DataFrame | None, spread: list[str] | None = None) -> DataFrame:
+def split_rows(facts: DataFrame, key: str, heavy: DataFrame, spread: list[str] | None = None) -> DataFrame:
     """Give every row of a heavy key one of its slots, by a hash of ``spread``."""
-    if heavy is None:
-        return facts.withColumn("_slot", F.lit(0))
     columns = [F.col(c) for c in (spread or [c for c in facts.columns if c != key])]
     slot = F.pmod(F.xxhash64(*columns), F.coalesce("_slots", F.lit(1))).cast("int")
     return facts.join(F.broadcast(heavy), key, "left").withColumn("_slot", slot).drop("_slots")
 
 
-def copy_to_slots(dim: DataFrame, key: str, heavy: DataFrame | None) -> DataFrame:
+def copy_to_slots(dim: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
     """Repeat every row of a heavy key once per slot."""
-    if heavy is None:
-        return dim.withColumn("_slot", F.lit(0))
     slots = F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)
     return dim.join(F.broadcast(heavy), key, "left").withColumn("_slot", F.explode(slots)).drop("_slots")
 
@@ -90,34 +94,35 @@ def lookup_join(
     how: str = "inner",
     spread: list[str] | None = None,
     heavy: DataFrame | None = None,
-    rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """``facts`` joined to ``dim`` on ``key`` where ``facts`` may hold hot keys.
 
     The few heavy keys of ``facts`` are split over slots and the matching rows
     of ``dim`` repeated once per slot, so the result is the plain join's.
-    ``how`` may be ``inner``, ``left``, ``left_semi`` or ``left_anti``.  A
-    caller that has counted ``facts`` passes ``rows``: a table no larger than
-    one heavy key needs no splitting.
+    ``how`` may be ``inner``, ``left``, ``left_semi`` or ``left_anti``.  The
+    keys are counted before the join: facts that are not ``stored`` yet are
+    stored first, so that they are made once.
     """
-    if rows is not None and rows <= heavy_rows(facts.sparkSession):
-        return facts.join(dim, key, how)
-    heavy = heavy_keys(facts, key) if heavy is None else heavy
+    if heavy is None:
+        facts = facts if stored else cut(facts)
+        heavy = cut(heavy_keys(facts, key))
     left = split_rows(facts, key, heavy, spread)
     right = copy_to_slots(dim, key, heavy)
     return left.join(right, [key, "_slot"], how).drop("_slot")
 
 
-def for_lookups(facts: DataFrame, key: str, spread: list[str]) -> tuple[DataFrame, DataFrame | None]:
+def for_lookups(facts: DataFrame, key: str, spread: list[str]) -> tuple[DataFrame, DataFrame]:
     """Store ``facts`` for many joins on ``key``: the rows with ``_slot``, the heavy keys.
 
-    Join ``copy_to_slots(other, key, heavy)`` to it on ``[key, "_slot"]``.
+    The rows are stored as they are placed by ``[key, "_slot"]``.  Join
+    ``copy_to_slots(other, key, heavy)`` to them on these two columns: only the
+    other side moves.
     """
-    stored, rows = cut_counted(facts)
-    if rows <= heavy_rows(facts.sparkSession):
-        return split_rows(stored, key, None), None
+    stored = cut(facts)
     heavy = cut(heavy_keys(stored, key))
-    return cut(split_rows(stored, key, heavy, spread)), heavy
+    placed = split_rows(stored, key, heavy, spread).repartition(_tasks(facts.sparkSession), key, "_slot")
+    return cut(placed), heavy
 
 
 def with_dense_index(df: DataFrame, order: list[Column], name: str = "index") -> DataFrame:
@@ -126,7 +131,7 @@ def with_dense_index(df: DataFrame, order: list[Column], name: str = "index") ->
     Range partitions are sorted side by side; only their row counts, one number
     per partition, are summed up in one place.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _tasks(df.sparkSession)
     local_row = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     ranged = cut(
         df.repartitionByRange(parts, *order)

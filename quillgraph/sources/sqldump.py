@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TARGET = r"\((-?\d+),(-?\d+),'((?:[^'\\]|\\.)*)'\)"
+_TARGET = r"\((-?\d+),(-?\d+),'((?:[^'\\]++|\\.)*+)'\)"
 _LINK = r"\((-?\d+),(-?\d+),(-?\d+)\)"
 
 

@@ -27,6 +27,6 @@ def spark():
 @pytest.fixture
 def tiny_heavy(spark):
     """Treat every key with more than two rows as heavy."""
-    spark.conf.set("quillgraph.heavyRows", "2")
+    spark.conf.set("quillgraph.heavyShare", "0")
     yield
-    spark.conf.unset("quillgraph.heavyRows")
+    spark.conf.unset("quillgraph.heavyShare")
