@@ -175,20 +175,24 @@ def hue_seeds(spark, sf):
 
 
 def _passes(n: int) -> str:
-    out = ["h0 AS (SELECT node_id, hue FROM seeds)"]
+    """All passes one after the other; each stays as it was once a pass has changed nothing by half a degree."""
+    out = ["h0 AS MATERIALIZED (SELECT node_id, hue, false AS still FROM seeds)"]
     for k in range(1, n + 1):
         out.append(
-            f"m{k} AS (SELECT dst AS node_id, ((degrees(atan2(sum(degree * sin(radians(hue))), sum(degree * cos(radians(hue)))))) + 360) % 360 AS hue "
+            f"m{k} AS MATERIALIZED (SELECT dst AS node_id, ((degrees(atan2(sum(degree * sin(radians(hue))), sum(degree * cos(radians(hue)))))) + 360) % 360 AS hue "
             f"FROM edges JOIN h{k - 1} h ON h.node_id = src JOIN degrees d ON d.node_id = src WHERE dst NOT IN (SELECT node_id FROM seeds) GROUP BY 1), "
-            f"h{k} AS (SELECT node_id, coalesce(m{k}.hue, h{k - 1}.hue) AS hue FROM h{k - 1} FULL JOIN m{k} USING (node_id))"
+            f"n{k} AS MATERIALIZED (SELECT node_id, CASE WHEN h.still THEN h.hue ELSE coalesce(m{k}.hue, h.hue) END AS hue, coalesce(h.still, false) AS still, "
+            f"CASE WHEN m{k}.hue IS NULL THEN 0 WHEN h.hue IS NULL THEN 360 ELSE least((m{k}.hue - h.hue + 360) % 360, 360 - (m{k}.hue - h.hue + 360) % 360) END AS change "
+            f"FROM h{k - 1} h FULL JOIN m{k} USING (node_id) WHERE m{k}.hue IS NULL OR h.node_id IS NOT NULL OR NOT (SELECT bool_or(still) FROM h{k - 1})), "
+            f"h{k} AS MATERIALIZED (SELECT node_id, hue, (SELECT bool_or(still) OR max(change) < 0.5 FROM n{k}) AS still FROM n{k})"
         )
     return ", ".join(out)
 
 
-@check("propagate_hues", f"""{GRAPH_SQL}, {SEEDS_SQL}, {_passes(4)} SELECT n.node_id, round(coalesce(hue, (n.node_id * 137.507764::DOUBLE) % 360), 4)::DOUBLE AS hue
-  FROM nodes n LEFT JOIN h4 USING (node_id)""")
+@check("propagate_hues", f"""{GRAPH_SQL}, {SEEDS_SQL}, {_passes(hues.MAX_PASSES)} SELECT n.node_id, round(coalesce(hue, (n.node_id * 137.507764::DOUBLE) % 360), 4)::DOUBLE AS hue
+  FROM nodes n LEFT JOIN h{hues.MAX_PASSES} USING (node_id)""")
 def propagate_hues(spark, sf):
-    found = hues.propagate_hues(v.nodes(spark, sf), v.edges(spark, sf), max_passes=4)
+    found = hues.propagate_hues(v.nodes(spark, sf), v.edges(spark, sf))
     return found.withColumn("hue", F.round("hue", 4))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.registry import check
+from quillgraph import scale
 from quillgraph.operators import extract, graph, rank
 from quillgraph.sinks import documents as sink
-from quillgraph.sources import documents, dump, sqldump
+from quillgraph.sources import curation, documents, dump, sqldump
 
 
 def _write_dump(spark, sf):
@@ -92,7 +93,7 @@ def read_mix_files(spark, sf):
     return parsed.groupBy("mixes.kind", "mixes.help_reason").agg(F.countDistinct("page").alias("n"))
 
 
-@check("read_entity_docs", "SELECT s_name AS name, s_suppkey::VARCHAR || ',' || s_nationkey AS genres, '2025-01-02 03:04:05' AS revised, true AS named FROM supplier")
+@check("read_entity_docs", "SELECT s_name AS name, s_suppkey::VARCHAR || ',' || s_nationkey AS genres, '2025-01-02 03:04:05' AS revised, 'part' AS page FROM supplier")
 def read_entity_docs(spark, sf):
     folder = v.scratch(spark) + "/docs"
     docs = v.table(spark, sf, "supplier").select(
@@ -103,7 +104,7 @@ def read_entity_docs(spark, sf):
     read = documents.read_entity_docs(spark, folder, documents.ARTIST_DOC)
     return read.select(
         "name", F.array_join(F.transform("genres", lambda g: g.cast("string")), ",").alias("genres"),
-        F.date_format("last_revision_date", "yyyy-MM-dd HH:mm:ss").alias("revised"), F.col("page").startswith("part-").alias("named"),
+        F.date_format("last_revision_date", "yyyy-MM-dd HH:mm:ss").alias("revised"), F.regexp_replace("page", r"^part-.*$", "part").alias("page"),
     )
 
 
@@ -138,21 +139,50 @@ def write_graph_edges(spark, sf):
     return edges.withColumn("ty", F.col("ty").cast("int"))
 
 
-@check("read_graph_json", """SELECT c_custkey AS doc, pos - 1 AS node_id, label, 0::BIGINT AS links FROM (SELECT c_custkey, unnest([c_name, c_mktsegment]) AS label, unnest([1, 2]) AS pos FROM customer)""")
-def read_graph_json(spark, sf):
-    """A small published document per customer, read by position."""
+def _published(spark, sf):
+    """One published document: a node for each customer, an edge to each one's nation."""
     folder = v.scratch(spark) + "/published"
-    one = v.table(spark, sf, "customer").select(
-        F.col("c_custkey").cast("string").alias("wikipedia_domain"),
-        F.array(F.struct(F.col("c_name").alias("label")), F.struct(F.col("c_mktsegment").alias("label"))).alias("nodes"),
-        F.array(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("edges"),
-    )
-    one.write.json(folder)
-    document = spark.read.schema(documents.GRAPH).json(folder)
-    nodes = document.select(F.col("wikipedia_domain").cast("long").alias("doc"), "nodes")
-    listed, _ = documents.graph_tables(document)
-    placed = nodes.select("doc", F.posexplode("nodes").alias("node_id", "n")).select("doc", F.col("node_id").cast("long").alias("node_id"), "n.label")
-    return placed.join(listed.select("node_id", "label", "links").distinct(), ["node_id", "label"])
+    nodes = F.sort_array(F.collect_list(F.struct("c_custkey", F.struct(
+        F.col("c_name").alias("page_title"), F.col("c_mktsegment").alias("label"), F.array("c_phone").alias("aliases"),
+        F.when(F.col("c_nationkey") > 4, F.col("c_nationkey").cast("long")).alias("links"), F.col("c_acctbal").alias("x"), F.lit(1.5).alias("y"), F.lit(2.5).alias("hue"),
+    ).alias("node"))))
+    edges = F.collect_list(F.array(F.col("c_custkey") - 1, F.col("c_nationkey").cast("long"), F.col("c_custkey") % 3))
+    whole = v.table(spark, sf, "customer").agg(nodes.alias("nodes"), edges.alias("edges"))
+    whole.select(F.lit("docs.example.org").alias("wikipedia_domain"), F.transform("nodes", lambda n: n["node"]).alias("nodes"), "edges").write.json(folder)
+    return documents.read_graph_json(spark, folder)
+
+
+@check("read_graph_json", """SELECT c_custkey - 1 AS node_id, c_name AS page_title, c_mktsegment AS label, c_phone AS alias,
+  CASE WHEN c_nationkey > 4 THEN c_nationkey ELSE 0 END::BIGINT AS links, c_acctbal AS x FROM customer""")
+def read_graph_json(spark, sf):
+    nodes, _ = _published(spark, sf)
+    return nodes.select("node_id", "page_title", "label", F.try_element_at("aliases", F.lit(1)).alias("alias"), "links", "x")
+
+
+@check("read_graph_json_edges", "SELECT c_custkey - 1 AS src, c_nationkey::BIGINT AS dst, (c_custkey % 3)::INTEGER AS ty FROM customer")
+def read_graph_json_edges(spark, sf):
+    _, edges = _published(spark, sf)
+    return edges.withColumn("ty", F.col("ty").cast("int"))
+
+
+@check("curation_tables", """SELECT n_name AS name, n.kind AS kind, n.rows AS rows FROM nation, (VALUES ('accepted_edges', 91), ('artist_renames', 0), ('genre_renames', 3),
+  ('ignored_pages', 5), ('rejected_edges', 16)) n(kind, rows)""")
+def curation_tables(spark, sf):
+    """The sizes of all curated tables beside each nation."""
+    sizes = [t.agg(F.count(F.lit(1)).cast("int").alias("rows")).select(F.lit(k).alias("kind"), "rows") for k, t in curation.curation_tables(spark).items()]
+    told = scale.union_all(sizes).agg(F.collect_list(F.struct("kind", "rows")).alias("t")).scalar()
+    return v.table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.explode(told).alias("t")).select("name", "t.*")
+
+
+@check("template_dim", """SELECT s_suppkey, ['cn', 'lang', 'efn', 'nobr', 'sfnp', 'unknown thing'][s_suppkey % 6 + 1] AS template,
+  ['citation_needed', 'lang', 'efn', 'nowrap', 'sfn', NULL][s_suppkey % 6 + 1] AS canonical, ['bracket', 'component', 'component', 'component', 'hidden', NULL][s_suppkey % 6 + 1] AS kind,
+  CASE WHEN s_suppkey % 6 = 0 THEN '[citation needed]' END AS text FROM supplier""")
+def template_dim(spark, sf):
+    """Each supplier uses a template by one of its names."""
+    named = F.element_at(F.array(*map(F.lit, ["cn", "lang", "efn", "nobr", "sfnp", "unknown thing"])), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    uses = v.table(spark, sf, "supplier").select("s_suppkey", named.alias("template"))
+    dim = curation.template_dim(spark).withColumnRenamed("name", "template")
+    return uses.join(dim, "template", "left").select("s_suppkey", "template", "canonical", "kind", "text")
 
 
 @check("write_stage", "SELECT l_partkey AS target_id, count(*) AS n FROM lineitem GROUP BY 1")

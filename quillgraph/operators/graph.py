@@ -15,6 +15,9 @@ from quillgraph import scale
 SUSPICIOUS_MIN_DEGREE = 15
 SUSPICIOUS_RATIO = 5.0
 
+# Steps of a found path put together in one job.
+WALK_STEPS = 5
+
 
 def visible_edges(edges: DataFrame, types: list[int] | None = None) -> DataFrame:
     """Edges of the enabled types; all of them by default."""
@@ -286,7 +289,7 @@ def shortest_path(edges: DataFrame, pairs: DataFrame, types: list[int] | None =
             back.append(_grow(back, waiting.select(F.col("target").alias("end")).distinct(), inward, "dst", "src"))
         here = forth[-1][0].select(F.col("end").alias("source"), "node_id")
         there = back[-1][0].select(F.col("end").alias("target"), "node_id")
-        reach = scale.lookup_join(here, waiting, "source", spread=["node_id"], stored=True)
+        reach = here.join(waiting, "source")
         common, n = scale.cut_counted(reach.join(there, ["target", "node_id"]).select("source", "target", "node_id"))
         if n > 0:
             # Open pairs are at least this far apart: no earlier round joined them.
@@ -305,7 +308,7 @@ def _grow(levels: list, active: DataFrame, steps: tuple, near: str, far: str) ->
     """Next level of a search: new nodes per end and the smallest node they lead to."""
     rows, heavy = steps
     frontier, n = levels[-1]
-    frontier = scale.lookup_join(frontier, active, "end", "left_semi", stored=True)
+    frontier = frontier.join(active, "end", "left_semi")
     here = scale.copy_to_slots(frontier.select("end", F.col("node_id").alias(near)), near, heavy)
     seen = scale.union_all([level for level, _ in levels]).select("end", "node_id")
     reached = (
@@ -348,8 +351,8 @@ def _mark_ways(forth: list[DataFrame], met: list[tuple[int, int, DataFrame]], in
 def _walk(found: DataFrame, onward: DataFrame | None, homeward: DataFrame, longest: int) -> DataFrame:
     """Put the paths together: ``onward`` to the meeting node, then ``homeward``.
 
-    Each step is stored, so that its hot nodes can be looked up before the next
-    join.
+    Paths that meet at a node are joined to its one row, so no copies of it are
+    needed; Spark splits such a node's paths when it joins them.
     """
     path = F.when(F.col("hops").isNotNull(), F.array("source"))
     walk = found.withColumn("path", path).withColumn("at", F.col("source"))
@@ -362,16 +365,17 @@ def _walk(found: DataFrame, onward: DataFrame | None, homeward: DataFrame, longe
     for step in range(1, longest + 1):
         # A path that has arrived finds no next node and stays as it is.
         walk = walk.join(out, ["source", "target", "at"], "left").withColumn("here", F.struct("target", "at"))
-        walk = scale.lookup_join(walk, home, "here", "left", spread=["source"], stored=True)
+        walk = walk.join(home, "here", "left")
         to = F.coalesce("out", "home")
         walk = walk.select(
             "source", "target", "hops",
             F.when(to.isNull(), F.col("path")).otherwise(F.concat("path", F.array(to))).alias("path"),
             F.coalesce(to, "at").alias("at"),
         )
-        walk = scale.cut(walk)
-        done.append(walk.filter(F.col("hops") <= step))
-        walk = walk.filter(F.col("hops") > step)
+        if step % WALK_STEPS == 0 or step == longest:
+            walk = scale.cut(walk)
+            done.append(walk.filter(F.col("hops") <= step))
+            walk = walk.filter(F.col("hops") > step)
     return scale.union_all([d.select("source", "target", "hops", "path") for d in done])
 
 

@@ -18,6 +18,10 @@ from quillgraph.sinks import documents as sink
 from quillgraph.sources import curation
 
 
+# So many names of duplicate pages are told.
+DUPLICATES_SHOWN = 20
+
+
 @dataclass(frozen=True)
 class DumpTables:
     """Inputs: ``pages(page_id, title, ts, text)``, link tables, mixes and meta."""
@@ -33,13 +37,19 @@ class DumpTables:
 def build_graph(spark: SparkSession, dump: DumpTables, work: str, positions: DataFrame | None = None) -> dict[str, DataFrame]:
     """All published tables.  ``positions(page, x, y)`` are node places, if known."""
     curated = curation.curation_tables(spark)
-    ours = extract.drop_namespaced(extract.classify_pages(dump.pages))
+    # The dump is read once: its classified pages are a small share of it.
+    classified = extract.drop_namespaced(extract.classify_pages(dump.pages))
+    ours = sink.write_stage(classified, f"{work}/classified", "kind")
     redirects = sink.write_stage(extract.read_redirects(ours, dump.domain), f"{work}/redirects")
 
     def entities(kind: str, process, renames: str) -> DataFrame:
         rows = process(ours.filter(F.col("kind") == kind))
         rows = extract.apply_renames(rows, curated[renames])
-        return sink.write_stage(extract.drop_ignored(rows, curated["ignored_pages"]), f"{work}/{kind}s")
+        found = sink.write_stage(extract.drop_ignored(rows, curated["ignored_pages"]), f"{work}/{kind}s")
+        twice = extract.duplicate_pages(found).orderBy("page").limit(DUPLICATES_SHOWN).collect()
+        if twice:
+            raise ValueError(f"{kind} pages produced more than once: {', '.join(r['page'] for r in twice)}")
+        return found
 
     genres = entities("genre", extract.process_genres, "genre_renames")
     artists = entities("artist", extract.process_artists, "artist_renames")

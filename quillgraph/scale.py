@@ -106,7 +106,7 @@ def lookup_join(
     """
     if heavy is None:
         facts = facts if stored else cut(facts)
-        heavy = cut(heavy_keys(facts, key))
+        heavy = heavy_keys(facts, key)
     left = split_rows(facts, key, heavy, spread)
     right = copy_to_slots(dim, key, heavy)
     return left.join(right, [key, "_slot"], how).drop("_slot")

@@ -14,9 +14,9 @@ from quillgraph import scale
 _JSON = {"ignoreNullFields": "true"}
 
 
-def write_stage(df: DataFrame, path: str) -> DataFrame:
-    """Write one stage as parquet and read it back, which also ends its lineage."""
-    df.write.mode("overwrite").parquet(path)
+def write_stage(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """Write one stage as parquet, in folders ``by`` columns, and read it back, which also ends its lineage."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -226,6 +226,130 @@ BRACKET_TEMPLATES = {
 }
 
 
+# Templates with a text or layout of their own.
+COMPONENT_TEMPLATES = """
+currentyear currentmonthname single+space space+double two_pixel_space abbr abbrlink age
+audio as_of birth_date birth_based_on_age_as_of_date birth_based_on_age_at_death bracket
+quote convert css-style cyrl date2 efn em esccnty escyr etymology frac gloss height hlist
+iast iast3 india_rs interlanguage_link ipa ipa-all ipac-en korean korean/auto lang
+lang-ka lang-rus lang-sh-cyrl lang-sr-cyr lang-sr-cyrl-latn lang-su-fonts langx
+language_with_name/for linktext listen lit mongolunicode music nihongo nihongo2 nihongo3
+nihongo4 not_a_typo nobold noitalic nowrap numero ₱ post_nominals respelling rtgs ruby
+sans-serif script script/hebrew small start_date spaces sup thin_space transliteration
+url us$ usd uss wikt-lang lang-zh time_ago
+"""
+
+# Other names of templates.
+TEMPLATE_ALIASES = """
+clear_left > clear
+clear_right > clear
+culture_of_peru > culture_of_colombia
+music-genre-stub > music_genre_stub
+music_of_jamaica > music_of_cape_verde
+script/nastaliq > nastaliq
+nq > nastaliq
+ref label > ref_label
+toclimit > toc_limit
+use_indian_english > use_dmy_dates
+sfnp > sfn
+snf > sfn
+also_known_as > aka
+a.k.a. > aka
+c. > circa
+emdash > em_dash
+mdash > em_dash
+-- > em_dash
+endash > en_dash
+ndash > en_dash
+ne > né
+hairsp > hair_space
+snd > spaced_en_dash
+spaced_ndash > spaced_en_dash
+spnd > spaced_en_dash
+snds > spaced_en_dash_space
+px2 > two_pixel_space
+'- > single+space
+according_to_whom? > according_to_whom
+better_source_needed > better_source
+by_whom? > by_whom
+cn > citation_needed
+cita_requerida > citation_needed
+citesource > citation_needed
+fact > citation_needed
+facts > citation_needed
+reference_needed > citation_needed
+source_needed > citation_needed
+source? > source
+citation_needed_(lead) > citation_needed_lead
+not_verified_in_body > citation_needed_lead
+clarification_needed > clarify
+clarification_needed_span > clarify_span
+contradictory_inline > contradiction-inline
+dn > disambiguation_needed
+excessive_citations > excessive_citations_inline
+not_in_ref > failed_verification
+notinref > failed_verification
+verification_failed > failed_verification
+pn > page_needed
+pronunciation? > pronunciation_needed
+pron > pronunciation_needed
+sps > self-published_inline
+unreliable_source? > unreliable_source
+unreliable_source_inline > unreliable_source
+what? > what
+when? > when
+which? > which
+where? > where
+who? > who
+asof > as_of
+blockquote > quote
+cquote > quote
+efn-ua > efn
+ety > etymology
+ill > interlanguage_link
+interlanguage_link_multi > interlanguage_link
+ipa-cen > ipac-en
+ko-hhrm > korean
+lang-latn > lang
+langnf > language_with_name/for
+langr > lang
+lang_unset_italics > lang
+sund > lang-su-fonts
+lang-sr-cyrl > lang-sr-cyr
+lit. > lit
+literal > lit
+literally > lit
+literal_translation > lit
+notatypo > not_a_typo
+proper_name > not_a_typo
+nobr > nowrap
+post-nominal_styles > post_nominals
+post-nominal > post_nominals
+post-nominals > post_nominals
+postnom > post_nominals
+postnominal > post_nominals
+postnominals > post_nominals
+respell > respelling
+smaller > small
+thinspace > thin_space
+thinsp > thin_space
+tlit > transliteration
+translit > transliteration
+transl > transliteration
+xlit > transliteration
+us_dollar > us$
+wt > wikt-lang
+zh > lang-zh
+timeago > time_ago
+phillippine_peso > ₱
+indian_rupee > india_rs
+indian_rupee_symbol > india_rs
+indian_rupees > india_rs
+inr > india_rs
+₹ > india_rs
+"""
+
+
 def _edges(spark: SparkSession, listing: str) -> DataFrame:
     rows = [tuple(line.split(" > ")) for line in listing.strip().splitlines()]
     labels = spark.createDataFrame(rows, "src_label string, dst_label string")
@@ -251,12 +375,17 @@ def curation_tables(spark: SparkSession) -> dict[str, DataFrame]:
 def template_dim(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
     """``(name, canonical, kind, text)`` of the known templates.
 
-    Built in are the templates whose shown text is fixed.  Templates with a
-    layout of their own and alternative names come from the caller's table
-    ``more(name, canonical, kind, text)``.
+    ``kind`` is ``hidden``, ``fixed``, ``bracket`` or, for templates with a
+    layout of their own, ``component``.  Other names of a template have its
+    kind and text.  ``more(name, canonical, kind, text)`` adds the caller's;
+    the built-in row stays where both have a name.
     """
     rows = [(name, name, "hidden", None) for name in HIDDEN_TEMPLATES.split()]
     rows += [(name, name, "fixed", shown) for name, shown in FIXED_TEMPLATES.items()]
     rows += [(name, name, "bracket", f"[{shown}]") for name, shown in BRACKET_TEMPLATES.items()]
+    rows += [(name, name, "component", None) for name in COMPONENT_TEMPLATES.split()]
+    of = {row[0]: row for row in rows}
+    other = [line.split(" > ") for line in TEMPLATE_ALIASES.strip().splitlines()]
+    rows += [(name, *of[canonical][1:]) for name, canonical in other]
     known = spark.createDataFrame(rows, "name string, canonical string, kind string, text string")
-    return known if more is None else known.unionByName(more).dropDuplicates(["name"])
+    return known if more is None else known.unionByName(more.join(known, "name", "left_anti"))
