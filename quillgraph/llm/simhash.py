@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from quillgraph import scale
 from quillgraph.llm import labelled
 from quillgraph.llm.common import normal_words, text_of, wrapped
-from quillgraph.operators.graph import connected_components
 
 SHINGLE = 4
 SEED = 42
@@ -160,12 +159,32 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ordered.mapInArrow(_compare(radius), "src bigint, dst bigint")
 
 
+def _stars(linked: DataFrame) -> DataFrame:
+    """``(fp, component)`` of linked fingerprints, by alternating large and small stars (Kiveris et al., 2014).
+
+    Every round hangs larger neighbours, then smaller ones, on the smallest
+    neighbour, until each component is one star around its smallest member.
+    """
+    pairs = scale.cut(linked.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
+    before = None
+    while True:
+        mark = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if mark == before:
+            return pairs.select(F.col("u").alias("fp"), F.col("v").alias("component"))
+        before = mark
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scale.cut(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        pairs = scale.cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+
+
 def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(fp, component)`` of the fingerprints of ``rows``: a component is named by one of its fingerprints."""
     fps = scale.cut(rows.select("fp").distinct())
-    linked = scale.cut(links(fps, radius).distinct())
-    nodes = linked.select(F.col("src").alias("node_id")).union(linked.select("dst")).distinct()
-    joined = connected_components(linked, nodes).withColumnRenamed("node_id", "fp")
+    joined = _stars(links(fps, radius))
     return fps.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
