@@ -139,17 +139,25 @@ def write_graph_edges(spark, sf):
     return edges.withColumn("ty", F.col("ty").cast("int"))
 
 
+# Customers in one published document: bounds what a row and a task hold.
+BLOCK = 1_000
+
+
 def _published(spark, sf):
-    """One published document: a node for each customer, an edge to each one's nation."""
+    """Published documents of blocks of customers: a node for each customer, an edge to each one's nation."""
     folder = v.scratch(spark) + "/published"
     nodes = F.sort_array(F.collect_list(F.struct("c_custkey", F.struct(
         F.col("c_name").alias("page_title"), F.col("c_mktsegment").alias("label"), F.array("c_mktsegment").alias("aliases"),
         F.when(F.col("c_nationkey") > 4, F.col("c_nationkey").cast("long")).alias("links"), F.col("c_acctbal").alias("x"), F.lit(1.5).alias("y"), F.lit(2.5).alias("hue"),
     ).alias("node"))))
     edges = F.collect_list(F.array("c_custkey", F.col("c_nationkey").cast("long"), F.col("c_custkey") % 3))
-    whole = v.table(spark, sf, "customer").agg(nodes.alias("nodes"), edges.alias("edges"))
-    whole.select(F.lit("docs.example.org").alias("wikipedia_domain"), F.transform("nodes", lambda n: n["node"]).alias("nodes"), "edges").write.json(folder)
-    return documents.read_graph_json(spark, folder)
+    # A document is named by its first key, which its nodes count from; edges hold whole keys.
+    first = (F.col("c_custkey") - F.pmod("c_custkey", F.lit(BLOCK))).cast("string")
+    blocks = v.table(spark, sf, "customer").groupBy(first.alias("wikipedia_db_name")).agg(nodes.alias("nodes"), edges.alias("edges"))
+    told = blocks.select(F.lit("docs.example.org").alias("wikipedia_domain"), "wikipedia_db_name", F.transform("nodes", lambda n: n["node"]).alias("nodes"), "edges")
+    told.write.option("maxRecordsPerFile", 1).json(folder)
+    nodes, edges = documents.read_graph_json(spark, folder, "wikipedia_db_name")
+    return nodes.withColumn("node_id", F.col("wikipedia_db_name").cast("long") + F.col("node_id")), edges.drop("wikipedia_db_name")
 
 
 @check("read_graph_json", """SELECT c_custkey AS node_id, c_name AS page_title, c_mktsegment AS label, c_mktsegment AS alias,

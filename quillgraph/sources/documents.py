@@ -35,22 +35,25 @@ def parse_mix_files(files: DataFrame) -> DataFrame:
     return files.select("page", parse_mixes("raw").alias("mixes"))
 
 
-def graph_tables(document: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` and ``edges`` of a graph document; a node's id is its position."""
-    nodes = document.select(F.posexplode("nodes").alias("node_id", "n")).select(
-        F.col("node_id").cast("long").alias("node_id"), "n.*"
+def graph_tables(document: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` and ``edges`` of graph documents; a node's id is its position in its document.
+
+    Of several documents, ``keys`` are the columns that tell them apart; both tables keep them.
+    """
+    nodes = document.select(*keys, F.posexplode("nodes").alias("node_id", "n")).select(
+        *keys, F.col("node_id").cast("long").alias("node_id"), "n.*"
     )
     nodes = nodes.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     nodes = nodes.withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
-    edges = document.select(F.explode("edges").alias("e")).select(
-        F.col("e")[0].alias("src"), F.col("e")[1].alias("dst"), F.col("e")[2].cast("tinyint").alias("ty")
+    edges = document.select(*keys, F.explode("edges").alias("e")).select(
+        *keys, F.col("e")[0].alias("src"), F.col("e")[1].alias("dst"), F.col("e")[2].cast("tinyint").alias("ty")
     )
     return nodes, edges
 
 
-def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Tables of a published graph held in one JSON document."""
-    return graph_tables(spark.read.schema(GRAPH).json(path, multiLine=True))
+def read_graph_json(spark: SparkSession, path: str, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of published graphs, each held in one JSON document; a task reads whole documents."""
+    return graph_tables(spark.read.schema(GRAPH).json(path, multiLine=True), *keys)
 
 
 def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
