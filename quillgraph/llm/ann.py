@@ -37,26 +37,27 @@ SEED = 11
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``(vec_id, v, dim)``: one vector of each id; none that is null, zero or holds null or non-finite numbers."""
+    """``(vec_id, v, dim)``: the distinct vectors of each id; none that is null, zero or holds null or non-finite numbers."""
     v = F.col(embedding)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     told = vectors.filter(F.col(vec_id).isNotNull() & v.isNotNull()).filter(sound)
     doubles = v.cast("array<double>")
-    return told.groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(doubles).alias("v")).withColumn("dim", F.size("v"))
+    return told.select(F.col(vec_id).cast("long").alias("vec_id"), doubles.alias("v")).distinct().withColumn("dim", F.size("v"))
 
 
 class Block:
-    """Sorted projections of a block's vectors."""
+    """Sorted projections of a block's vectors; an id may have several."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.names, self.name = np.unique(ids, return_inverse=True)
         self.directions = np.random.default_rng(SEED).normal(size=(vectors.shape[1], PROJECTIONS))
         projected = vectors @ self.directions
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(query id, vector ids, distances)`` of each query's best, nearest first, ties to the smaller id."""
+        """``(query id, vector ids, distances)`` of each query's best ids, nearest first, ties to the smaller id."""
         at = queries @ self.directions
         for number, query in enumerate(queries):
             yield (int(ids[number]), *self._one(int(ids[number]), query, at[number], k))
@@ -72,7 +73,7 @@ class Block:
         farthest = float(np.maximum(np.abs(self.sorted[:, 0] - at), np.abs(self.sorted[:, -1] - at)).max())
         seen = np.zeros(n, np.int64)
         low = high = middle
-        distance = np.full(n, np.inf)
+        distance = np.full(len(self.names), np.inf)  # of each id's nearest vector
         verified = self.ids == query_id  # a query is no candidate of its own
         while True:
             left = np.array([np.searchsorted(s, x - half, "left") for s, x in zip(self.sorted, at)])
@@ -84,14 +85,14 @@ class Block:
             found = np.flatnonzero((seen >= need) & ~verified)
             if len(found):
                 verified[found] = True
-                distance[found] = np.sqrt(((self.vectors[found] - query) ** 2).sum(axis=1))
-            best = np.partition(distance, k - 1)[k - 1] if n >= k else np.inf
+                np.minimum.at(distance, self.name[found], np.sqrt(((self.vectors[found] - query) ** 2).sum(axis=1)))
+            best = np.partition(distance, k - 1)[k - 1] if len(distance) >= k else np.inf
             if best * reach <= half or half > farthest:
                 break
             half *= GROWTH
         found = np.flatnonzero(distance < np.inf)
-        found = found[np.lexsort((self.ids[found], distance[found]))][:k]
-        return self.ids[found], distance[found]
+        found = found[np.lexsort((self.names[found], distance[found]))][:k]
+        return self.names[found], distance[found]
 
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -147,9 +148,10 @@ def _search(k: int):
 def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest vectors of each query, by Euclidean distance.
 
-    ``is_query`` is a condition on ``vec_id``.  Rows that repeat an id count
-    once, with the smallest vector; vectors without an id, and those that
-    ``usable`` leaves out, take no part.  Vectors of another length are no
+    ``is_query`` is a condition on ``vec_id``.  Every distinct vector of an id
+    is indexed and asked: the distance of two ids is that of their nearest
+    vectors.  Vectors without an id, and those that ``usable`` leaves out, take
+    no part; an id is no neighbour of its own.  Vectors of another length are no
     neighbours.  With fewer than ``k`` candidates all are returned; no rows
     give no rows.
     """
@@ -157,10 +159,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     counts = kept.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     counts = scale.cut(counts)
     dealt = kept.join(counts, "dim")
-    block = F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")
+    block = F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int")
     own = dealt.select("dim", block.alias("block"), F.lit(0).alias("role"), "vec_id", "v")
     asked = dealt.filter(is_query).select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "vec_id", "v")
     ordered = own.unionByName(asked).repartition("dim", "block").sortWithinPartitions("dim", "block", "role", "vec_id")
     found = ordered.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
