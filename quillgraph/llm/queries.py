@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, chat, exact, lm, mixing, packing, quality, sharding, simhash, toxicity
+from quillgraph.llm import ann, chat, exact, lm, mixing, packing, quality, sharding, simhash, token_counts, toxicity
 from quillgraph.llm.common import fold, table
 from quillgraph.llm.registry import query
 
@@ -94,3 +94,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.read_back(chat.format_chat(turns))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
