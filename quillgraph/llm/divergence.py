@@ -17,10 +17,12 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +31,16 @@ from quillgraph import scale
 LEAST_DOCS = 10
 TOP = 10
 UNIT = 1_000_000_000
-# Counts that a task holds before it spills; cells of a matrix and of one step's arrays; groups described to the tasks at once.
-ENTRIES = 400_000
+# Counts that a task holds before it spills; cells of a matrix and of one step's arrays; groups described to the tasks at once; rows of a batch.
+ENTRIES = 1_000_000
 CELLS = 1 << 20
 STEP = 1 << 18
 GROUPS = 100_000
+ROWS = 8_192
 
 LIST = pa.list_
-_STRIPE = pa.schema([("lang", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("sources", LIST(pa.string())), ("counts", LIST(pa.int64()))])
-STRIPE = "lang string, term string, df bigint, sources array<string>, counts array<bigint>"
+_STRIPE = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("df", pa.int64()), ("sources", LIST(pa.string())), ("counts", LIST(pa.int64()))])
+STRIPE = "lang string, term binary, df bigint, sources array<string>, counts array<bigint>"
 _SUM = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 SUM = "lang string, source string, part string, item string, value bigint"
 
@@ -77,25 +80,28 @@ class Stripes:
     def __len__(self) -> int:
         return sum(map(len, self.counts.values()))
 
-    def rows(self) -> Iterator[tuple]:
-        """The stripes; a stripe without term lists the sources of its language."""
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The stripes as rows; one without term lists the sources of its language."""
         for lang, df in self.df.items():
-            groups = [(source, counts) for (of, source), counts in self.counts.items() if of == lang]
-            yield lang, None, 0, [s for s, _ in groups], [0] * len(groups)
-            for term, n in df.items():
-                found = [(s, c) for s, counts in groups if (c := counts.get(term))]
-                yield lang, term.decode("utf-8"), n, [s for s, _ in found], [c for _, c in found]
-
-
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 8_192) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            stripes: dict[bytes | None, list] = {None: [0]}
+            for (of, source), counts in self.counts.items():
+                if of == lang:
+                    stripes[None] += (source, 0)
+                    for term, count in counts.items():
+                        if (stripe := stripes.get(term)) is None:
+                            stripes[term] = [df[term], source, count]
+                        else:
+                            stripe += (source, count)
+            words, rows = list(stripes), list(stripes.values())
+            for at in range(0, len(rows), ROWS):
+                part = rows[at : at + ROWS]
+                yield _stripe_batch([lang] * len(part), words[at : at + ROWS], [r[0] for r in part], [r[1::2] for r in part], [r[2::2] for r in part])
+
+
+def _stripe_batch(langs: list, words: list, dfs: list, sources: list[list], counts: list[list]) -> pa.RecordBatch:
+    ends = pa.array(np.cumsum([0, *map(len, sources)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(list(chain.from_iterable(v)), t)) for v, t in ((sources, pa.string()), (counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(dfs, pa.int64()), *lists], schema=_STRIPE)
 
 
 def _fold(entries: int):
@@ -109,31 +115,60 @@ def _fold(entries: int):
                 if read > 2 * entries:  # that many characters add at most ``entries`` counts
                     read = 0
                     if len(stripes) > entries:
-                        yield from _batches(stripes.rows(), _STRIPE)
+                        yield from stripes.batches()
                         stripes = Stripes()
-        yield from _batches(stripes.rows(), _STRIPE)
+        yield from stripes.batches()
 
     return run
 
 
+def _runs(batch: pa.RecordBatch) -> np.ndarray:
+    """Where rows of another key begin in a sorted batch, and its end."""
+    changed = np.zeros(len(batch) - 1, bool)
+    for column in (batch.column(0), pc.fill_null(batch.column(1), b"")):  # no term is empty
+        changed |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(changed) + 1, [len(batch)]])
+
+
 def _merge(least: int):
-    """Merge the sorted stripes of a partition; terms of fewer than ``least`` documents go."""
+    """Merge the sorted stripes of a partition; terms of fewer than ``least`` documents go.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        key, df, held = None, 0, {}
+    The rows of the last key of a batch are merged into one and wait for the next batch.
+    """
+
+    def merged(batch: pa.RecordBatch, runs: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
+        ends = batch.column(3).offsets.to_numpy() - batch.column(3).offsets[0].as_py()
+        names, values = batch.column(3).flatten(), batch.column(4).flatten()
+        sources, counts = [], []
+        for run in chosen.tolist():
+            held: dict[str, int] = {}
+            entries = slice(ends[runs[run]], ends[runs[run + 1]])
+            for source, count in zip(names[entries].to_pylist(), values[entries].to_pylist()):
+                held[source] = held.get(source, 0) + count
+            sources.append(list(held))
+            counts.append(list(held.values()))
+        first = pa.array(runs[chosen])
+        dfs = np.add.reduceat(batch.column(2).to_numpy(), runs[:-1])[chosen]
+        return _stripe_batch(batch.column(0).take(first).to_pylist(), batch.column(1).take(first).to_pylist(), dfs.tolist(), sources, counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
         for batch in batches:
-            for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (lang, term):
-                    if key is not None and (df >= least or key[1] is None):
-                        yield *key, df, list(held), list(held.values())
-                    key, df, held = (lang, term), 0, {}
-                df += n
-                for source, count in zip(sources, counts):
-                    held[source] = held.get(source, 0) + count
-        if key is not None and (df >= least or key[1] is None):
-            yield *key, df, list(held), list(held.values())
+            if not len(batch):
+                continue
+            if waiting is not None:
+                batch = pa.Table.from_batches([waiting, batch.cast(_STRIPE)]).combine_chunks().to_batches()[0]
+            runs = _runs(batch)
+            dfs = np.add.reduceat(batch.column(2).to_numpy(), runs[:-1])
+            known = batch.column(1).is_null().to_numpy(zero_copy_only=False)[runs[:-1]] | (dfs >= least)
+            chosen = np.flatnonzero(known[:-1])
+            if len(chosen):
+                yield merged(batch, runs, chosen)
+            waiting = merged(batch, runs, np.array([len(runs) - 2]))
+        if waiting is not None and (waiting.column(1)[0].as_py() is None or waiting.column(2)[0].as_py() >= least):
+            yield waiting
 
-    return lambda batches: _batches(rows(batches), _STRIPE)
+    return run
 
 
 def merged_stripes(docs: DataFrame, least: int = LEAST_DOCS, entries: int = ENTRIES) -> DataFrame:
@@ -178,7 +213,7 @@ def _diverge(described: dict[str, Language], top: int, cells: int, step: int):
             for i, line in enumerate(matrix):
                 yield from ((lang, sources[begin + i], "pair", sources[j], v) for j, v in enumerate(line.tolist()) if j != begin + i)
             for source, heap in best.items():
-                yield from ((lang, source, "term", term, value) for value, _, term in heap)
+                yield from ((lang, source, "term", last.key.decode("utf-8"), value) for value, last in heap)
 
         for batch in batches:
             langs, words, tiles, sources, counts = (c.to_pylist() for c in batch.columns)
@@ -209,7 +244,7 @@ def _diverge(described: dict[str, Language], top: int, cells: int, step: int):
                 values = apart(p[:, begin:end], q)
                 for i, j in zip(*np.nonzero(told)):
                     word, heap = words[at + i], best[names[begin + j]]
-                    entry = int(values[i, j]), _Last(word), word
+                    entry = int(values[i, j]), _Last(word)
                     if len(heap) < top:
                         heapq.heappush(heap, entry)
                     elif entry > heap[0]:
@@ -220,13 +255,24 @@ def _diverge(described: dict[str, Language], top: int, cells: int, step: int):
     return lambda batches: _batches(rows(batches), _SUM)
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = ROWS) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+
+
 class _Last:
     """A term that counts as larger the earlier its UTF-8 is."""
 
     __slots__ = ("key",)
 
-    def __init__(self, term: str):
-        self.key = term.encode("utf-8")
+    def __init__(self, term: bytes):
+        self.key = term
 
     def __lt__(self, other: _Last) -> bool:
         return self.key > other.key
@@ -279,10 +325,11 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, cells: int =
         parts.append(_sums(stripes, described, top, cells, step))
     if not parts:
         return stripes.sparkSession.createDataFrame([], f"{SUM}, rank int")
-    order = [F.col("value").desc(), F.col("item").cast("binary")]
-    summed = scale.union_all(parts).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(*order)))
-    return ranked.filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    sums = scale.union_all(parts)
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.encode("item", "UTF-8"))).alias("rank")
+    pairs = sums.filter(F.col("part") == "pair").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).select("*", rank)
+    # A term has one stripe, so its values are whole already.
+    return pairs.unionByName(sums.filter(F.col("part") == "term").select("*", rank).filter(F.col("rank") <= top))
 
 
 def _sums(stripes: DataFrame, described: dict[str, Language], top: int, cells: int, step: int) -> DataFrame:

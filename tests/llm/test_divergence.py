@@ -66,7 +66,7 @@ def test_spills_are_merged(spark):
     spilled = dv.Stripes()
     for text, lang, source in rows[:100]:
         spilled.add(lang or "", source or "", text or "")
-    assert len(spilled) == sum(len(c) for c in spilled.counts.values()) and sum(1 for _ in spilled.rows()) > 20
+    assert len(spilled) == sum(len(c) for c in spilled.counts.values()) and sum(len(b) for b in spilled.batches()) > 20
     for entries in (1, 10**6):
         merged = dv.merged_stripes(frame(spark, rows), 1, entries).collect()
         assert len({(r.lang, r.term) for r in merged}) == len(merged)
