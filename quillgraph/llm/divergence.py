@@ -325,7 +325,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, cells: int =
         parts.append(_sums(stripes, described, top, cells, step))
     if not parts:
         return stripes.sparkSession.createDataFrame([], f"{SUM}, rank int")
-    sums = scale.union_all(parts)
+    sums = scale.cut(scale.union_all(parts))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.encode("item", "UTF-8"))).alias("rank")
     pairs = sums.filter(F.col("part") == "pair").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).select("*", rank)
     # A term has one stripe, so its values are whole already.
