@@ -44,8 +44,8 @@ def propagate_hues(
     seeded = scale.cut(hue_seeds(degrees, seeds).select("node_id", "hue"))
     weight = degrees.select(F.col("node_id").alias("src"), F.col("degree").alias("weight"))
     pull = edges.join(seeded.select(F.col("node_id").alias("dst")), "dst", "left_anti")
-    pull, heavy = scale.for_lookups(pull.select("src", "dst", "ty"), "src", ["dst", "ty"])
-    pull = scale.cut(pull.join(scale.copy_to_slots(weight, "src", heavy), ["src", "_slot"]))
+    pull = scale.lookup_join(pull.select("src", "dst", "ty"), weight, "src", spread=["dst", "ty"])
+    pull, heavy = scale.for_lookups(pull, "src", ["dst", "ty"])
 
     hues = seeded
     for _ in range(max_passes):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph import scale
@@ -16,37 +16,76 @@ def resolve_redirects(pages: DataFrame, redirects: DataFrame) -> tuple[DataFrame
     the redirect pages.  Returns ``links(link, page)`` with lower-case links and
     ``aliases(page, alias)`` with the redirect titles in their own case.
 
-    Every round joins the redirects to the links found in the round before.
-    Real pages keep their own link; per new link the smallest title wins.  Two
-    pages that differ only in case: the higher ``rank``, then the later page.
+    A link resolves in the round that is its number of steps from a page; per
+    link the smallest title of its first round wins.  Real pages keep their own
+    link.  Two pages that differ only in case: the higher ``rank``, then the
+    later page.
+
+    A link with one target is a pointer.  Pointers are doubled, so a chain of n
+    redirects needs log n joins and a ring is known by the steps it has made.
+    A link with several targets (titles that differ only in case) is a fork: no
+    pointer goes past it, and the few forks are settled among themselves.
     """
     rank = F.col("rank") if "rank" in pages.columns else F.lit(0)
     heading = names.page_heading("page")
     latest = F.struct(rank, names.page_name("page"), heading.isNotNull(), F.coalesce(heading, F.lit("")), F.col("page"))
-    found = scale.cut(
-        pages.groupBy(F.lower("page").alias("link"))
-        .agg(F.max(latest).alias("m"))
-        .select("link", F.col("m.page").alias("page"), F.lit(None).cast("string").alias("alias"))
-    )
-    by_target = redirects.select(F.lower("target").alias("link"), "title")
-    by_target, heavy = scale.for_lookups(by_target, "link", ["title"])
+    found = scale.cut(pages.groupBy(F.lower("page").alias("link")).agg(F.max(latest).alias("m")).select("link", F.col("m.page").alias("page")))
+
+    ways = redirects.groupBy(F.lower("title").alias("link"), F.lower("target").alias("to")).agg(F.min("title").alias("title"))
+    ways = ways.filter(F.col("link").isNotNull() & F.col("to").isNotNull()).join(found, "link", "left_anti")
+    ways = scale.cut(ways.withColumn("ways", F.count(F.lit(1)).over(Window.partitionBy("link"))))
+    ends = _chase(ways.filter("ways = 1").select("link", "to"))
+    settled = found.select(F.col("link").alias("end"), "page", F.lit(0).cast("long").alias("steps"))
+    forks = _settle_forks(ways.filter("ways > 1"), ends, settled)
+
+    reached = scale.lookup_join(ends, settled.unionByName(forks.select(F.col("link").alias("end"), "page", "steps")).select("end", "page"), "end", spread=["link"])
+    titled = reached.select("link", "page").join(ways.filter("ways = 1").select("link", "title"), "link")
+    aliased = scale.cut(titled.select("link", "page", "title").unionByName(forks.select("link", "page", "title")))
+    return found.unionByName(aliased.select("link", "page")), aliased.select("page", F.col("title").alias("alias"))
+
 
-    levels, frontier = [found], found
+def _chase(pointers: DataFrame) -> DataFrame:
+    """``(link, end, steps)``: where each pointer ``link -> to`` leads in the end; links that run into a ring go.
+
+    In round r every open pointer spans 2^r steps.  One that is still open when
+    it has made more steps than there are pointers runs in a ring.
+    """
+    pointers, total = scale.cut_counted(pointers)
+    known = pointers.select(F.col("link").alias("to"), F.lit(True).alias("more"))
+    first = scale.lookup_join(pointers, known, "to", "left", spread=["link"], stored=True)
+    jumps, _ = scale.cut_counted(first.select("link", "to", F.lit(1).cast("long").alias("steps"), F.col("more").isNull().alias("done")))
+    finished, span = [jumps.filter("done")], 1
+    active, n = jumps.filter("not done"), total
+    while n and span <= total:
+        table = scale.union_all([*finished, active])
+        onward = table.select(F.col("link").alias("to"), F.col("to").alias("end"), F.col("steps").alias("further"), F.col("done").alias("ended"))
+        joined = scale.lookup_join(active, onward, "to", spread=["link"], stored=True)
+        moved = scale.cut(joined.select("link", F.col("end").alias("to"), (F.col("steps") + F.col("further")).alias("steps"), F.col("ended").alias("done")))
+        finished = scale.merge_levels([*finished, moved.filter("done")])
+        active, n = scale.cut_counted(moved.filter("not done"))
+        span *= 2
+    return scale.cut(scale.union_all(finished).select("link", F.col("to").alias("end"), "steps"))
+
+
+def _settle_forks(ways: DataFrame, ends: DataFrame, settled: DataFrame) -> DataFrame:
+    """``(link, page, title, steps)`` of the links with several targets: the fewest steps, then the smallest title."""
+    ways, n = scale.cut_counted(ways.select("link", "to", "title"))
+    none = settled.select(F.col("end").alias("link"), "page", F.lit("").alias("title"), "steps").limit(0)
+    if n == 0:
+        return none
+    through = ends.select(F.col("link").alias("to"), "end", "steps")
+    led = scale.lookup_join(ways, through, "to", "left", spread=["link", "title"], stored=True)
+    led = scale.cut(led.select("link", "title", F.coalesce("end", "to").alias("end"), (F.coalesce("steps", F.lit(0)) + 1).alias("cost")))
+    forks, before = none, None
     while True:
-        known = scale.union_all(levels).select("link")
-        reached = (
-            by_target.join(scale.copy_to_slots(frontier.select("link", "page"), "link", heavy), ["link", "_slot"])
-            .groupBy(F.lower("title").alias("link"))
-            .agg(F.min(F.struct("title", "page")).alias("m"))
-            .select("link", F.col("m.page").alias("page"), F.col("m.title").alias("alias"))
-        )
-        frontier, n = scale.cut_counted(reached.join(known, "link", "left_anti"))
-        if n == 0:
-            break
-        levels = scale.merge_levels(levels + [frontier])
-    everything = scale.union_all(levels)
-    aliases = everything.filter(F.col("alias").isNotNull()).select("page", "alias")
-    return everything.select("link", "page"), aliases
+        known = settled.unionByName(forks.select(F.col("link").alias("end"), "page", "steps"))
+        found = scale.lookup_join(led, known, "end", spread=["link", "title"], stored=True)
+        best = F.min(F.struct((F.col("steps") + F.col("cost")).alias("steps"), "title", "page")).alias("m")
+        forks = scale.cut(found.groupBy("link").agg(best).select("link", "m.page", "m.title", "m.steps"))
+        mark = forks.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*forks.columns)).alias("x")).first()
+        if mark == before:
+            return forks
+        before = mark
 
 
 def lookup_links(rows: DataFrame, column: str, links: DataFrame, spread: list[str] | None = None) -> DataFrame:
@@ -71,9 +110,13 @@ def tracked_linktargets(targets: DataFrame, tracked: DataFrame) -> DataFrame:
 
 
 def links_to_tracked(pagelinks: DataFrame, targets: DataFrame) -> DataFrame:
-    """Single page links that lead to a tracked target."""
+    """Single page links that lead to a tracked target.
+
+    Other links go first, so only the few that stay are stored and counted for heavy keys.
+    """
     named = targets.select(F.col("lt_id").alias("target_id"), "title")
-    return scale.lookup_join(pagelinks, named, "target_id")
+    wanted = pagelinks.join(named.select("target_id"), "target_id", "left_semi")
+    return scale.lookup_join(wanted, named, "target_id")
 
 
 def inbound_counts(pagelinks: DataFrame, targets: DataFrame, tracked: DataFrame) -> DataFrame:

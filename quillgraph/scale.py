@@ -122,7 +122,18 @@ def for_lookups(facts: DataFrame, key: str, spread: list[str]) -> tuple[DataFram
     stored = cut(facts)
     heavy = cut(heavy_keys(stored, key))
     placed = split_rows(stored, key, heavy, spread).repartition(_tasks(facts.sparkSession), key, "_slot")
-    return cut(placed), heavy
+    return cut_placed(placed), heavy
+
+
+def cut_placed(df: DataFrame) -> DataFrame:
+    """``cut`` that remembers how the rows are placed: a plan that may still be changed at run time tells no placement."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
 
 
 def with_dense_index(df: DataFrame, order: list[Column], name: str = "index") -> DataFrame:

@@ -112,3 +112,70 @@ def test_tied_scores_follow_page_order(spark):
     scores = spark.createDataFrame([("g", "A#x", 1.0), ("g", "A", 1.0), ("g", "A b", 1.0)], "genre string, artist string, score float")
     got = [r.artist for r in rank.top_artists(scores).orderBy("rank").collect()]
     assert got == ["A", "A#x", "A b"]
+
+
+def test_long_chains_need_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 redirects, rings, and titles that differ only in case."""
+    from quillgraph import scale
+    from quillgraph.operators import links
+
+    rounds, plain = [], scale.lookup_join
+    monkeypatch.setattr(scale, "lookup_join", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    chain = [(f"R{i:04}", f"r{i - 1:04}" if i else "Page") for i in range(1_000)]
+    rings = [("Ring1", "Ring2"), ("Ring2", "Ring1"), ("Into", "ring1"), ("Dead", "Nowhere"), ("Self", "self")]
+    redirects = spark.createDataFrame(chain + rings, "title string, target string")
+    found, aliases = links.resolve_redirects(spark.createDataFrame([("Page",)], "page string"), redirects)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([("page", "Page")] + [(t.lower(), "Page") for t, _ in chain])
+    assert sorted(r.alias for r in aliases.collect()) == sorted(t for t, _ in chain)
+    assert len(rounds) <= 12 + 1  # and one to name the pages
+
+
+def _rounds(pages, redirects):
+    """Brute force: round by round, the smallest title of a link's first round."""
+    level = {p.lower(): (p, None) for p in pages}
+    while True:
+        new = {}
+        for title, target in redirects:
+            if title.lower() not in level and target.lower() in level:
+                new[title.lower()] = min(new.get(title.lower(), ("\U0010ffff", "")), (title, level[target.lower()][0]))
+        if not new:
+            return {(link, page) for link, (page, _) in level.items()}, sorted((page, title) for page, title in level.values() if title)
+        level |= {link: (page, title) for link, (title, page) in new.items()}
+
+
+def test_forks_against_rounds(spark, tiny_heavy):
+    import random
+
+    from quillgraph.operators import links
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        words = [f"{c}{d}" for c in "abcdefgh" for d in "xyz"]
+        case = lambda w: rng.choice([w, w.upper(), w.capitalize()])
+        pages = sorted({w.capitalize() for w in rng.sample(words, 3)})
+        redirects = [(case(rng.choice(words)), case(rng.choice(words))) for _ in range(40)]
+        found, aliases = links.resolve_redirects(
+            spark.createDataFrame([(p,) for p in pages], "page string"), spark.createDataFrame(redirects, "title string, target string")
+        )
+        want, titles = _rounds(pages, redirects)
+        assert {tuple(r) for r in found.collect()} == want
+        assert sorted(tuple(r) for r in aliases.collect()) == titles
+
+
+def test_stored_side_of_lookups_stays_placed(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph import scale
+
+    facts = spark.range(2_000).select((F.col("id") % 37).alias("src"), F.col("id").alias("dst"))
+    placed, heavy = scale.for_lookups(facts, "src", ["dst"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frontier = scale.cut(spark.range(20).select(F.col("id").alias("src")))
+        joined = scale.copy_to_slots(frontier, "src", heavy).join(placed, ["src", "_slot"])
+        plan = joined._jdf.queryExecution().sparkPlan().toString(), joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == sum(1 for i in range(2_000) if i % 37 < 20)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan[1].count("Exchange hashpartitioning(src") == 1
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
