@@ -58,24 +58,40 @@ def shard(docs: DataFrame, limit: int = 512 << 20) -> DataFrame:
     id_bits = _bits_of(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), ID_BITS)
     row_bits = _bits_of(F.monotonically_increasing_id().cast("string"), ROW_BITS)
     key = F.shiftleft(id_bits, ROW_BITS) + row_bits
-    left, n = scale.cut_counted(docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("bytes"), key.alias("key")))
+    return _placed(docs.select("doc_id", F.octet_length(text_of()).cast("long").alias("bytes"), key.alias("key")), ["doc_id"], limit)
+
+
+def _placed(rows: DataFrame, ids: list[str], limit: int) -> DataFrame:
+    """The columns ``ids`` of ``rows(ids, bytes, key)`` with bytes and shard of each row."""
+    left, n = scale.cut_counted(rows)
     depth, placed = 0, []
     while n or not placed:
         width = min(STEP, BITS - depth)
         cells = scale.cut(_split(left, depth, limit))
         dealt = left.withColumn("cell", _prefix("key", depth + width)).join(cells, "cell")
-        placed.append(dealt.filter("depth IS NOT NULL").select("doc_id", "bytes", "depth", "prefix", "shard_bytes", "shard_docs"))
+        placed.append(dealt.filter("depth IS NOT NULL").select(*ids, "bytes", "depth", "prefix", "shard_bytes", "shard_docs"))
         depth += width
         if depth == BITS:
             break
-        left, n = scale.cut_counted(dealt.filter("depth IS NULL").select("doc_id", "bytes", "key"))
+        left, n = scale.cut_counted(dealt.filter("depth IS NULL").select(*ids, "bytes", "key"))
     name = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    return scale.union_all(placed).select("doc_id", "bytes", name.alias("shard"), "depth", "shard_bytes", "shard_docs")
+    return scale.union_all(placed).select(*ids, "bytes", name.alias("shard"), "depth", "shard_bytes", "shard_docs")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 512 << 20) -> None:
-    """Write the documents, one folder ``shard=b<bits>`` for each shard (a ``b``, as bits alone would be read as a number)."""
-    placed = shard(docs, limit).select("doc_id", "shard").distinct()
-    told = wrapped(docs.drop("shard"), own_id=F.col("doc_id"))
-    out = told.join(placed, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("doc.*", F.concat(F.lit("b"), "shard").alias("shard"))
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write every row once, one folder ``shard=b<bits>`` for each shard (a ``b``, as bits alone would be read as a number).
+
+    Rows are told apart by their place in the stored input, so rows that repeat
+    an id, or are equal altogether, keep their number.  All columns are written;
+    where one is called ``shard``, the folders take the first free name of
+    ``shard_1``, ``shard_2`` and so on.
+    """
+    taken = {c.lower() for c in docs.columns}
+    folder = next(n for n in ("shard", *(f"shard_{i}" for i in range(1, len(taken) + 2))) if n not in taken)
+    rows = scale.cut(wrapped(docs, row=F.monotonically_increasing_id()))
+    text, doc_id = F.coalesce(F.col("doc.text"), F.lit("")), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit(""))
+    key = F.shiftleft(_bits_of(doc_id, ID_BITS), ROW_BITS) + _bits_of(F.col("row").cast("string"), ROW_BITS)
+    placed = _placed(rows.select("row", F.octet_length(text).cast("long").alias("bytes"), key.alias("key")), ["row"], limit)
+    out = rows.join(placed.select("row", F.concat(F.lit("b"), "shard").alias("_name")), "row").select("doc.*", F.col("_name").alias(folder))
+    # A shard is at most ``limit`` bytes, or one document.
+    out.repartition(folder).write.partitionBy(folder).parquet(path)

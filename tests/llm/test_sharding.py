@@ -44,3 +44,17 @@ def test_written_shards(spark, make_docs, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.doc_id for r in back.collect()) == list(range(40))
     assert max(r["count"] for r in back.groupBy("shard").count().collect()) <= 6
+
+
+def test_every_row_is_written_once(spark, make_docs, tmp_path):
+    rows = [(1, "x" * 40)] * 6 + [(2, "y"), (None, "z"), (None, None), (3, "")]
+    docs = make_docs(rows)  # has a column ``shard`` of its own
+    sharding.write_shards(docs, str(tmp_path / "out"), 100)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert "shard_1" in back.columns and set(docs.columns) < set(back.columns)
+    kept = sorted(((r.doc_id, r.text, r.shard) for r in back.collect()), key=str)
+    assert kept == sorted(((r.doc_id, r.text, r.shard) for r in docs.collect()), key=str)
+    sizes = {}
+    for r in back.collect():
+        sizes.setdefault(r.shard_1, []).append(len(r.text or ""))
+    assert len(sizes) > 2 and all(sum(s) <= 100 or len(s) == 1 for s in sizes.values())
