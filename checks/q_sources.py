@@ -9,6 +9,7 @@ from checks.registry import check
 from quillgraph import scale
 from quillgraph.operators import extract, graph, rank
 from quillgraph.sinks import documents as sink
+from quillgraph.sinks import page_files
 from quillgraph.sources import curation, documents, dump, sqldump
 
 
@@ -215,19 +216,23 @@ def _brand_genres(spark, sf):
     return brands.select(F.col("p_brand").alias("page"), "description", F.lit("2025-01-02 03:04:05").cast("timestamp").alias("revision"))
 
 
-@check("write_genre_docs", f"""{TOP_SQL} SELECT page, description, '2025-01-02T03:04:05Z' AS last_revision_date, coalesce(string_agg(artist, ',' ORDER BY rank), '') AS top_artists,
+GENRE_DOCS_SQL = f"""{TOP_SQL} SELECT page, description, '2025-01-02T03:04:05Z' AS last_revision_date, coalesce(string_agg(artist, ',' ORDER BY rank), '') AS top_artists,
   CASE WHEN starts_with(page, 'Brand#1') THEN 'why ' || page END AS help, CASE WHEN starts_with(page, 'Brand#3') THEN 'L' || page END AS playlist
-  FROM (SELECT p_brand AS page, min(p_type) AS description FROM part GROUP BY 1) LEFT JOIN best ON genre = page GROUP BY ALL""")
-def write_genre_docs(spark, sf):
+  FROM (SELECT p_brand AS page, min(p_type) AS description FROM part GROUP BY 1) LEFT JOIN best ON genre = page GROUP BY ALL"""
+ARTIST_DOCS_SQL = f"""{TOP_SQL} SELECT c_name AS page, c_mktsegment AS name, '2025-01-02T03:04:05Z' AS last_revision_date, c_nationkey::VARCHAR AS genres
+  FROM customer WHERE c_name IN (SELECT artist FROM best)"""
+
+
+def _genre_docs(spark, sf):
     genres = _brand_genres(spark, sf)
     raw = F.when(F.col("page").startswith("Brand#1"), F.concat(F.lit("help: why "), "page")).when(
         F.col("page").startswith("Brand#3"), F.concat(F.lit("https://y.example/?list=L"), F.regexp_replace("page", "#", "&"))
     )
     files = genres.select("page", raw.alias("raw")).filter("raw is not null")
-    docs = sink.genre_docs(genres, documents.parse_mix_files(files), _ranked(spark, sf))
-    folder = v.scratch(spark) + "/genres"
-    sink.write_genre_docs(docs, folder)
-    read = spark.read.schema("page string, description string, last_revision_date string, mixes string, top_artists array<string>").json(folder)
+    return sink.genre_docs(genres, documents.parse_mix_files(files), _ranked(spark, sf))
+
+
+def _shown_genres(read):
     playlist = F.get_json_object("mixes", "$[0].playlist")
     return read.select(
         "page", "description", "last_revision_date", F.array_join("top_artists", ",").alias("top_artists"),
@@ -236,18 +241,49 @@ def write_genre_docs(spark, sf):
     )
 
 
-@check("write_artist_docs", f"""{TOP_SQL} SELECT c_name AS page, c_mktsegment AS name, '2025-01-02T03:04:05Z' AS last_revision_date, c_nationkey::VARCHAR AS genres
-  FROM customer WHERE c_name IN (SELECT artist FROM best)""")
-def write_artist_docs(spark, sf):
+@check("write_genre_docs", GENRE_DOCS_SQL)
+def write_genre_docs(spark, sf):
+    folder = v.scratch(spark) + "/genres"
+    sink.write_genre_docs(_genre_docs(spark, sf), folder)
+    return _shown_genres(spark.read.schema("page string, description string, last_revision_date string, mixes string, top_artists array<string>").json(folder))
+
+
+@check("write_genre_pages", GENRE_DOCS_SQL)
+def write_genre_pages(spark, sf):
+    """A file per genre, read back by its name."""
+    folder = v.scratch(spark) + "/genre_pages"
+    page_files.write_genre_pages(_genre_docs(spark, sf), folder)
+    read = documents.read_entity_docs(spark, folder, documents.GENRE_DOC)
+    return _shown_genres(read.withColumn("last_revision_date", F.date_format("last_revision_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+
+def _artist_docs(spark, sf):
     customers = v.table(spark, sf, "customer")
     artists = customers.select(
         F.col("c_name").alias("page"), F.col("c_mktsegment").alias("label"), F.lit(None).cast("string").alias("description"),
         F.lit("2025-01-02 03:04:05").cast("timestamp").alias("revision"),
     )
     ids = customers.select(F.col("c_name").alias("artist"), F.array(F.col("c_nationkey").cast("long")).alias("genres"))
+    return sink.artist_docs(artists, _ranked(spark, sf), ids)
+
+
+@check("write_artist_docs", ARTIST_DOCS_SQL)
+def write_artist_docs(spark, sf):
     folder = v.scratch(spark) + "/artists"
-    sink.write_artist_docs(sink.artist_docs(artists, _ranked(spark, sf), ids), folder)
-    read = spark.read.schema("page string, name string, last_revision_date string, genres array<bigint>").json(folder)
+    sink.write_artist_docs(_artist_docs(spark, sf), folder)
+    return _shown_artists(spark.read.schema("page string, name string, last_revision_date string, genres array<bigint>").json(folder))
+
+
+@check("write_artist_pages", ARTIST_DOCS_SQL)
+def write_artist_pages(spark, sf):
+    """A file per artist, read back by its name."""
+    folder = v.scratch(spark) + "/artist_pages"
+    page_files.write_artist_pages(_artist_docs(spark, sf), folder)
+    read = documents.read_entity_docs(spark, folder, documents.ARTIST_DOC)
+    return _shown_artists(read.withColumn("last_revision_date", F.date_format("last_revision_date", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+
+def _shown_artists(read):
     return read.select("page", "name", "last_revision_date", F.array_join(F.transform("genres", lambda g: g.cast("string")), ",").alias("genres"))
 
 

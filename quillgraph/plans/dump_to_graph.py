@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import names
 from quillgraph.operators import build, extract, graph, hues, links, rank, search
 from quillgraph.sinks import documents as sink
+from quillgraph.sinks import page_files
 from quillgraph.sources import curation
 
 
@@ -104,6 +105,8 @@ def write_all(tables: dict[str, DataFrame], out: str) -> None:
     sink.write_graph_tables(tables["nodes"], tables["edges"], f"{out}/tables")
     sink.write_genre_docs(tables["genre_docs"], f"{out}/genres")
     sink.write_artist_docs(tables["artist_docs"], f"{out}/artists")
+    page_files.write_genre_pages(tables["genre_docs"], f"{out}/pages/genres")
+    page_files.write_artist_pages(tables["artist_docs"], f"{out}/pages/artists")
     sink.write_link_ids(tables["link_ids"], f"{out}/link_ids")
     index = search.build_search_index(tables["nodes"])
     index.write.mode("overwrite").parquet(f"{out}/search_index")

@@ -50,6 +50,8 @@ def test_dump_to_published_files(spark, tmp_path):
     assert genres["House music"]["top_artists"] == ["Fingers"] and genres["Jazz"]["top_artists"] == ["Sun Ra"]
     assert genres["Disco"]["mixes"] == [{"video": "x"}] and genres["Jazz"]["mixes"] == {"help_reason": "none"}
     assert "mixes" not in genres["House music"] and genres["House music#Deep house"]["description"] == "Deep lead."
+    pages = {r.page: r for r in documents.read_entity_docs(spark, f"{out}/pages/genres", documents.GENRE_DOC).collect()}
+    assert set(pages) == set(genres) and pages["Jazz"].top_artists == ["Sun Ra"]
     artists = {r.page: r for r in spark.read.json(f"{out}/artists").collect()}
     assert artists["Fingers"].name == "Mr. Fingers" and artists["Fingers"].genres == [2, 3] and artists["Sun Ra"].name == "Sun Ra"
     ids = {r.link: r.node_id for r in spark.read.json(f"{out}/link_ids").collect()}
