@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph import scale
-from quillgraph.llm import exact, mixing, packing, simhash, toxicity
+from quillgraph.llm import exact, mixing, packing, similar, toxicity
 from quillgraph.llm.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest id stays."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Of documents whose five-word shingles have a Jaccard similarity of 0.8 or more one stays."""
+    return similar.keep_dissimilar(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
