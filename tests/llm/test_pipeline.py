@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillgraph.llm import packing, simhash, tokens
+from quillgraph.llm import packing, similar, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,20 +33,13 @@ def test_stages_against_brute_force(spark, tmp_path):
         largest[r.text] = max(r.doc_id, largest.get(r.text, r.doc_id))
     assert sorted(r.doc_id for r in single) == sorted(largest.values())
 
-    fps = {r.doc_id: simhash.fingerprint(r.text) for r in single}
-    root = {d: d for d in fps}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for a in sorted(fps):
-        for b in fps:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4 and find(a) != find(b):
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    assert sorted(r.doc_id for r in apart) == sorted({find(d) for d in fps})
+    sets = {r.doc_id: similar.shingles(r.text) for r in single}
+    stays = {r.doc_id for r in apart}
+    assert len(stays) == len(apart) and stays <= set(sets)
+    close = [(a, b) for a in sets for b in sets if a < b and similar.similarity(sets[a], sets[b]) >= 0.8]
+    assert close and not any(a in stays and b in stays for a, b in close)
+    for gone in set(sets) - stays:
+        assert any((a == gone and b in stays) or (b == gone and a in stays) for a, b in close)
 
     copies = Counter(r.doc_id for r in mixed)
     assert set(copies) <= {r.doc_id for r in apart} and max(copies.values()) <= 3
