@@ -38,6 +38,15 @@ def training_ids(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def prior_shift(labels: DataFrame, label: str, y: np.ndarray) -> float:
+    """What the log odds of a fit on the sampled labels ``y`` lack to those of all told rows; 0 if a label is missing."""
+    told = told_labels(labels, label).agg(F.sum("y").alias("one"), F.sum(1 - F.col("y")).alias("other")).first()
+    one, other = float(np.sum(y)), float(np.sum(1 - y))
+    if not (told["one"] and told["other"] and one and other):
+        return 0.0
+    return float(np.log(told["one"] / told["other"]) - np.log(one / other))
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """``(doc_id, y, text)`` of the training rows; at most ``2 * per_class`` ids are broadcast."""
     ids = training_ids(labels, label, per_class)

@@ -8,8 +8,10 @@ penalty learns the weights of the scaled features (Wang and Manning, 2012).
 
 It learns from at most ``per_class`` labelled texts of either label.  The
 executors count their features and pick those whose shares in the two classes
-differ clearly; the driver fits the weights of these.  The model is one
-number per feature, 2 MB whatever the data.
+differ clearly; the driver fits the weights of these.  The bias is shifted to
+the shares of the labels in all training rows, so the sample's balance, which
+depends on the size of the table, does not decide.  The model is one number per
+feature, 2 MB whatever the data.
 """
 
 from __future__ import annotations
@@ -145,7 +147,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     found = [np.frombuffer(r["found"], np.int32) for r in rows]
     text = np.repeat(np.arange(len(rows)), [len(f) for f in found])
     feature = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int64)
-    return fit(text, feature, np.array([r["y"] for r in rows], np.float64), ratio)
+    y = np.array([r["y"] for r in rows], np.float64)
+    model = fit(text, feature, y, ratio)
+    return Model(model.weights, model.bias + labelled.prior_shift(labels, label, y))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:

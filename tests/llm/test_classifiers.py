@@ -77,6 +77,18 @@ def test_no_labels_and_no_rows(spark, make_docs):
         assert len({round(r.score, 6) for r in score(docs, one).collect()}) == 1
 
 
+def test_sampled_balance_is_corrected(spark, make_docs):
+    """Texts that tell nothing get the share of toxic rows in all training rows, whatever the sample's balance."""
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    docs = make_docs([(i, "the same words in every text") for i in range(600)], clash=False)
+    told = labelled.told_labels(labels, "toxic")
+    share = told.agg(F.avg("y")).first()[0]
+    for per_class in (20, 100, 1_500):
+        scores = {round(r.score, 3) for r in toxicity.score_toxicity(docs, labels, per_class=per_class).collect()}
+        assert len(scores) == 1 and abs(scores.pop() - share) < 0.01
+    assert labelled.prior_shift(labels, "toxic", np.zeros(4)) == 0.0
+
+
 def test_random_index_sums():
     texts = ["aa bb cc", "", "aa"]
     sums, counts = quality.context_sums(texts)
