@@ -112,7 +112,8 @@ def near(a: tuple, b: tuple, least: float) -> Iterator[tuple[np.ndarray, np.ndar
 def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool) -> DataFrame:
     """``(v, u)``: nodes of ``left`` and earlier ones of ``right`` that may be similar.
 
-    With ``first_only`` each comparison tells of a node only its first candidate.
+    With ``first_only`` each comparison tells of a node only its first candidate,
+    and has a row without ``v`` for every node of ``right`` that is one.
     """
     band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(least))).cast("int")
     names = ["node", "size", *(f"fp{k}" for k in range(LANES))]
@@ -144,16 +145,18 @@ def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool
         a, b = ((node[side == s], size[side == s], lanes[side == s]) for s in (0, 1))
         out = [np.zeros((0, 2), np.int64)]
         if len(a[0]) and len(b[0]):
-            first = np.full(len(a[0]), np.iinfo(np.int64).max)
+            none = np.iinfo(np.int64).max
+            first, met = np.full(len(a[0]), none), np.zeros(len(b[0]), bool)
             for i, j in near(a, b, least):
                 if first_only:
                     np.minimum.at(first, i, b[0][j])
+                    met[j] = True
                 else:
                     out.append(np.stack([a[0][i], b[0][j]], axis=1))
-            told = np.flatnonzero(first != np.iinfo(np.int64).max)
-            out.append(np.stack([a[0][told], first[told]], axis=1))
+            told, met = np.flatnonzero(first != none), b[0][met]
+            out += [np.stack([a[0][told], first[told]], axis=1), np.stack([np.full(len(met), -1), met], axis=1)]
         pairs = np.concatenate(out)
-        return pa.table({"v": pairs[:, 0], "u": pairs[:, 1]})
+        return pa.table({"v": pa.array(pairs[:, 0], mask=pairs[:, 0] < 0), "u": pairs[:, 1]})
 
     return rows.groupBy(*keys).applyInArrow(compare, "v bigint, u bigint")
 
@@ -199,24 +202,29 @@ def keep_dissimilar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILA
     order = [F.xxhash64("id", "hash"), F.col("id"), F.col("hash")]
     nodes = scale.cut(scale.with_dense_index(rows, order, "node"))
     told = wrapped(docs, own_id=F.col("doc_id").cast("long"), own=F.xxhash64(text_of()), body=text_of())
-    active, gone = nodes, []
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash"))
+    active, texts, gone = nodes, None, []
     while True:
-        first = candidates(active, active, least, first_only=True).select(F.col("v").alias("node")).distinct()
-        waiting, n = scale.cut_counted(active.join(first, "node", "left_semi"))
+        first = scale.cut(candidates(active, active, least, first_only=True).distinct())
+        later = first.filter("v IS NOT NULL").select(F.col("v").alias("node")).distinct()
+        waiting, n = scale.cut_counted(active.join(later, "node", "left_semi"))
         if n == 0:
             break
-        stay = active.join(waiting.select("node"), "node", "left_anti")
+        # The texts of documents that have a candidate or are one are fetched once.
+        met = later.unionByName(first.select(F.col("u").alias("node"))).distinct()
+        if texts is None:
+            used = nodes.join(met, "node", "left_semi").select("node", "id", "hash")
+            texts = told.select("own_id", "own", "body").join(used, same).select("node", F.col("body").alias("text")).dropDuplicates(["node"])
+        else:
+            texts = texts.join(met, "node", "left_semi")
+        texts = scale.cut(texts)
+        stay = active.join(met, "node", "left_semi").join(later, "node", "left_anti")
         pairs = scale.cut(candidates(waiting, stay, least, first_only=False))
-        used = pairs.select(F.explode(F.array("v", "u")).alias("node")).distinct()
-        used = nodes.join(used, "node", "left_semi").select("node", "id", "hash")
-        same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash"))
-        texts = told.select("own_id", "own", F.col("body").alias("text")).join(used, same).select("node", "text").dropDuplicates(["node"])
-        found = similar_pairs(pairs, scale.cut(texts), words, least)
+        found = similar_pairs(pairs, texts, words, least)
         gone.append(scale.cut(found.select(F.col("v").alias("node")).distinct()))
         active = scale.cut(waiting.join(gone[-1], "node", "left_anti"))
     kept = nodes
     if gone:
         kept = nodes.join(scale.union_all(gone), "node", "left_anti")
     kept = kept.select("id", "hash")
-    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash"))
     return told.join(kept, same, "left_semi").dropDuplicates(["own_id", "own"]).select("doc.*")
