@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import bz2
+import itertools
+import re
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -13,9 +19,8 @@ from quillgraph.sinks import page_files
 from quillgraph.sources import curation, documents, dump, sqldump
 
 
-def _write_dump(spark, sf):
-    """Documents as an article dump, compressed the way dumps are."""
-    folder = v.scratch(spark) + "/dump"
+def _page_xml(spark, sf):
+    """``(value, doc_id, title)``: documents as pages of an article dump, with the title as it stands there."""
     body = F.col("text")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         body = F.replace(body, F.lit(char), F.lit(entity))
@@ -28,7 +33,14 @@ def _write_dump(spark, sf):
         (F.col("doc_id") % 9 + 1).cast("string"), F.lit("T00:00:00Z</timestamp>\n      <text xml:space=\"preserve\">"), body,
         F.lit("</text></revision>\n  </page>"),
     )
-    v.table(spark, sf, "documents").select(page.alias("value")).write.option("compression", "bzip2").text(folder)
+    title = F.concat("source", F.lit(" &amp; "), F.col("doc_id").cast("string"))
+    return v.table(spark, sf, "documents").select(page.alias("value"), "doc_id", title.alias("title"))
+
+
+def _write_dump(spark, sf):
+    """The pages compressed the way dumps are."""
+    folder = v.scratch(spark) + "/dump"
+    _page_xml(spark, sf).select("value").write.option("compression", "bzip2").text(folder)
     return folder
 
 
@@ -38,6 +50,48 @@ def read_dump_pages(spark, sf):
     return pages.select("page_id", "title", F.date_format("ts", "yyyy-MM-dd").alias("day"), "text")
 
 
+def _write_streams(spark, sf):
+    """The same dump as a multistream file for each task, 100 pages to a stream, with indexes: ``(dumps, indexes)``."""
+    folder = v.scratch(spark) + "/streams"
+
+    def write(batches):
+        from pyarrow.fs import FileSystem
+
+        part = TaskContext.get().partitionId()
+        files, where = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
+        files.create_dir(where)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        at, entries, name = 0, [], f"/{part:05d}-pages.xml.bz2"
+        with files.open_output_stream(where + name, compression=None) as out:
+            while some := list(itertools.islice(rows, 100)):
+                entries += [f"{at}:{doc_id}:{title}\n" for _, doc_id, title in some]
+                at += out.write(bz2.compress("\n".join(xml for xml, _, _ in some).encode()))
+        with files.open_output_stream(f"{where}/{part:05d}-index.txt.bz2", compression="bz2") as out:
+            out.write("".join(entries).encode())
+        yield pa.RecordBatch.from_pydict({"dump": [folder + name], "index": [f"{folder}/{part:05d}-index.txt.bz2"]})
+
+    pages = _page_xml(spark, sf).mapInArrow(write, "dump string, index string")
+    written = pages.collect()
+    return [r["dump"] for r in written], [r["index"] for r in written]
+
+
+PAGES_SQL = """SELECT doc_id AS page_id, source || ' & ' || doc_id AS title, ('2025-01-0' || (doc_id % 9 + 1)) AS day, text FROM documents"""
+
+
+@check("read_dump_pages_by_index", PAGES_SQL)
+def read_dump_pages_by_index(spark, sf):
+    pages = dump.read_dump_pages(spark, *_write_streams(spark, sf))
+    return pages.select("page_id", "title", F.date_format("ts", "yyyy-MM-dd").alias("day"), "text")
+
+
+@check("read_dump_pages_wanted", PAGES_SQL + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def read_dump_pages_wanted(spark, sf):
+    """The pages of documents that are labelled toxic: only their streams are read."""
+    wanted = v.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    pages = dump.read_dump_pages(spark, *_write_streams(spark, sf), wanted)
+    return pages.select("page_id", "title", F.date_format("ts", "yyyy-MM-dd").alias("day"), "text")
+
+
 @check("read_site_info", "SELECT DISTINCT 'docs.example.org' AS domain, 'docwiki' AS db_name FROM documents")
 def read_site_info(spark, sf):
     return dump.read_site_info(spark, _write_dump(spark, sf))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Characters not allowed in file names and their stand-ins.
 FILE_UNSAFE = "/\\:*?\"<>|#"
@@ -92,14 +92,54 @@ def _fold(text: str) -> str:
     return "".join(c.lower() for c in kept)
 
 
-@F.pandas_udf(T.StringType())
-def _normalize(texts: pd.Series) -> pd.Series:
-    return texts.map(_fold, na_action="ignore")
+# Hangul syllables are numbered by their leading, vowel and trailing letters.
+HANGUL_FIRST, LEADING, VOWELS, TRAILING = 0xAC00, 19, 21, 28
+HANGUL_LAST = HANGUL_FIRST + LEADING * VOWELS * TRAILING - 1
+
+
+@cache
+def _folding() -> tuple[str, str]:
+    """The characters that folding changes, and what they become; those without a counterpart go.
+
+    Every character but a Hangul syllable folds to one character or to none.
+    """
+    changed: dict[str, str] = {}
+    for code in range(sys.maxunicode + 1):
+        char = chr(code)
+        if HANGUL_FIRST <= code <= HANGUL_LAST or unicodedata.category(char) == "Cs":
+            continue
+        folded = _fold(char)
+        if folded != char:
+            changed[char] = folded
+    kept = [c for c in changed if changed[c]]
+    gone = [c for c in changed if not changed[c]]
+    return "".join(kept + gone), "".join(changed[c] for c in kept)
+
+
+def _letters(first: int, number: Column, n: int) -> Column:
+    return F.substr(F.lit("".join(chr(first + i) for i in range(n))), number + 1, F.lit(1))
+
+
+def _spelled(run: Column) -> Column:
+    """A Hangul syllable as its letters; any other run as it is."""
+    at = F.ascii(run) - HANGUL_FIRST
+    leading = _letters(0x1100, F.floor(at / (VOWELS * TRAILING)).cast("int"), LEADING)
+    vowel = _letters(0x1161, F.floor(at / TRAILING).cast("int") % VOWELS, VOWELS)
+    tail = at % TRAILING
+    trailing = F.when(tail > 0, _letters(0x11A8, tail - 1, TRAILING - 1)).otherwise("")
+    syllable = (at >= 0) & (at <= HANGUL_LAST - HANGUL_FIRST)
+    return F.when(syllable, F.concat(leading, vowel, trailing)).otherwise(run)
 
 
 def normalize_text(text: Column | str) -> Column:
-    """Decompose, drop combining marks, lower-case each character."""
-    return _normalize(_col(text))
+    """Decompose, drop combining marks, lower-case each character: column functions only."""
+    text = _col(text)
+    folded = F.translate(text, *_folding())
+    hangul = f"{chr(HANGUL_FIRST)}-{chr(HANGUL_LAST)}"
+    runs = F.regexp_extract_all(folded, F.lit(f"[{hangul}]|[^{hangul}]+"), F.lit(0))
+    spelled = F.array_join(F.transform(runs, _spelled), "")
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).when(folded.rlike(f"[{hangul}]"), spelled).otherwise(folded)
 
 
 def strip_qualifier(title: Column | str) -> Column:

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph import scale
 from quillgraph.functions import names
-from quillgraph.operators import build, extract, graph, hues, links, rank, search
+from quillgraph.operators import build, extract, graph, hues, layout, links, rank, search
 from quillgraph.sinks import documents as sink
 from quillgraph.sinks import page_files
 from quillgraph.sources import curation
@@ -36,7 +37,11 @@ class DumpTables:
 
 
 def build_graph(spark: SparkSession, dump: DumpTables, work: str, positions: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All published tables.  ``positions(page, x, y)`` are node places, if known."""
+    """All published tables.  ``positions(page, x, y)`` are node places, if known.
+
+    Small components then go to a ring around the rest, and all is scaled to
+    the usual size; a node without a position starts at the origin.
+    """
     curated = curation.curation_tables(spark)
     # The dump is read once: its classified pages are a small share of it.
     classified = extract.drop_namespaced(extract.classify_pages(dump.pages))
@@ -84,7 +89,7 @@ def build_graph(spark: SparkSession, dump: DumpTables, work: str, positions: Dat
         .join(hue, "node_id", "left")
     )
     if positions is not None:
-        node_rows = node_rows.join(positions, "page", "left")
+        node_rows = node_rows.join(sink.write_stage(_layout(nodes, edges, positions), f"{work}/layout"), "node_id", "left")
     else:
         node_rows = node_rows.withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0))
     published = node_rows.select(
@@ -100,6 +105,14 @@ def build_graph(spark: SparkSession, dump: DumpTables, work: str, positions: Dat
     }
 
 
+def _layout(nodes: DataFrame, edges: DataFrame, positions: DataFrame) -> DataFrame:
+    """``(node_id, x, y)``: positions with the ring and the scale of the published graph."""
+    placed = nodes.select("node_id", "page").join(positions.select("page", "x", "y"), "page", "left")
+    points = placed.select("node_id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    components = scale.cut(graph.component_sizes(graph.connected_components(edges, nodes)))
+    return layout.normalize_layout(scale.cut(layout.isolated_ring(points, components)), components)
+
+
 def write_all(tables: dict[str, DataFrame], out: str) -> None:
     sink.write_graph(tables["nodes"], tables["edges"], tables["meta"], f"{out}/graph")
     sink.write_graph_tables(tables["nodes"], tables["edges"], f"{out}/tables")

@@ -30,7 +30,8 @@ def test_dump_to_published_files(spark, tmp_path):
     mixes = documents.parse_mix_files(spark.createDataFrame([("Disco", "https://youtu.be/x"), ("Jazz", "help: none")], "page string, raw string"))
     meta = spark.createDataFrame([("en.wikipedia.org", "enwiki", "2025-03-01")], "domain string, db_name string, dump_date string")
     work, out = str(tmp_path / "work"), str(tmp_path / "out")
-    tables = build_graph(spark, DumpTables(pages, linktargets, pagelinks, mixes, meta, "en.wikipedia.org"), work)
+    positions = spark.createDataFrame([("Jazz", 3.0, 4.0), ("Disco", -1.0, 2.0), ("No node", 0.0, 0.0)], "page string, x double, y double")
+    tables = build_graph(spark, DumpTables(pages, linktargets, pagelinks, mixes, meta, "en.wikipedia.org"), work, positions)
 
     nodes = {r.node_id: r for r in tables["nodes"].collect()}
     assert [(i, nodes[i].page_title, nodes[i].label) for i in range(6)] == [
@@ -38,6 +39,8 @@ def test_dump_to_published_files(spark, tmp_path):
         (4, None, "Jazz"), (5, None, "LGBTQ music"),
     ]
     assert nodes[2].aliases == [] and nodes[4].aliases == ["Jazz Music"] and nodes[3].aliases == []
+    # five nodes and one: both components are small, so all go to the ring, which has radius 100 without a core
+    assert {90 <= (r.x**2 + r.y**2) ** 0.5 <= 110 for r in nodes.values()} == {True}
     assert nodes[2].links == 1 and nodes[3].links == 2 and nodes[1].links == 6 and nodes[0].links == 0
     # origins in, derivatives and subgenres out, fusions through a redirect, heading parent, rejected LGBTQ -> Disco
     assert sorted(tuple(r) for r in tables["edges"].collect()) == [(1, 2, 0), (1, 2, 2), (2, 0, 1), (2, 3, 1), (4, 3, 0)]
