@@ -3,7 +3,9 @@
 Turns are dealt by conversation and sorted; a task streams through them with
 one state per conversation, so a conversation of any length needs no more
 memory than one turn.  The output is one row per segment with its loss flag.
-``read_back`` streams through segments the same way.
+``read_back`` streams through segments the same way, joins them to the formatted
+text and parses that with the template: no role and no text is taken from the
+rows.
 """
 
 from __future__ import annotations
@@ -135,43 +137,106 @@ def format_chat(turns: DataFrame, template: Template = Template()) -> DataFrame:
     return ordered.select("conv_id", "role", "text").mapInArrow(run, SEGMENTS)
 
 
-def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row per conversation, read from its segments as ``format_chat`` returns them.
+def parse_turns(formatted: str, template: Template = Template()) -> Iterator[tuple[str, int, int, int]]:
+    """``(role, start, end, after)`` of each whole turn at the head of a formatted text.
 
-    ``valid`` tells whether the roles came in an allowed order and ended in a
-    final state.
+    The escaped text of the turn is ``formatted[start:end]``, the next turn
+    begins at ``after``.  A turn that is not closed yet ends the walk; a place
+    where no turn can begin is an error.  Escaped texts hold no control string,
+    so the first closing mark is the turn's own.
+    """
+    opened, between, closed = template.other
+    # An opening mark may begin with another one.
+    marks = sorted([(before, role) for role, (before, _) in template.around.items()] + [(opened, None)], key=lambda m: -len(m[0]))
+    at = 0
+    while at < len(formatted):
+        before, role = next(((b, r) for b, r in marks if formatted.startswith(b, at)), (None, None))
+        if before is None:
+            raise ValueError("the formatted text does not follow the template")
+        start, closing = at + len(before), closed
+        if role is None:
+            middle = formatted.find(between, start)
+            if middle < 0:
+                return
+            role, start = unescape(formatted[start:middle]), middle + len(between)
+        else:
+            closing = template.around[role][1]
+        end = formatted.find(closing, start)
+        if end < 0:
+            return
+        at = end + len(closing)
+        yield role, start, end, at
+
+
+class _Conversation:
+    """What has been read of one conversation: digests, and the formatted text behind the last whole turn."""
+
+    def __init__(self, conv: int | None, template: Template):
+        self.conv, self.template, self.state = conv, template, template.start
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.chars = 0
+        self.valid = True
+        self.rest = ""
+
+    def read(self, parts: list[tuple[str, bool]]) -> None:
+        """Take the texts of some segments with their loss flags."""
+        formatted, masked = self.rest + "".join(text for text, _ in parts), []
+        at = len(self.rest)
+        for text, loss in parts:
+            if loss:
+                masked.append((at, at + len(text)))
+            at += len(text)
+        self.chars += at - len(self.rest)
+        done = 0
+        for role, start, end, after in parse_turns(formatted, self.template):
+            self.turns.update(f"{role}\n{unescape(formatted[start:end])}\n".encode("utf-8", "surrogatepass"))
+            under = unescape("".join(formatted[max(a, done) : min(b, after)] for a, b in masked if a < after and b > done))
+            self.loss.update(under.encode("utf-8", "surrogatepass"))
+            self.loss_chars += len(under)
+            self.n_turns += 1
+            self.state = self.template.moves.get((self.state, role), "refused")
+            self.valid = self.valid and self.state != "refused"
+            done = after
+        self.rest = formatted[done:]
+        if any(b > done for _, b in masked):
+            raise ValueError("a segment under the loss mask is not within a whole turn")
+
+    def row(self) -> tuple:
+        if self.rest:
+            raise ValueError("the formatted text ends within a turn")
+        valid = self.valid and self.state in self.template.final
+        return self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, valid
+
+
+def read_back(segments: DataFrame, template: Template = Template(), in_order: bool = False) -> DataFrame:
+    """One row per conversation, parsed from the formatted text that its segments join to.
+
+    Only the texts and the loss flags of the segments are read.  Segments are
+    brought into order first, so they may come from any files; with
+    ``in_order`` they are taken as ``format_chat`` returns them.  ``valid``
+    tells whether the roles came in an allowed order and ended in a final
+    state.  A text that does not follow the template is an error.
     """
-    known = {before: role for role, (before, _) in template.around.items()}
 
     def run(batches):
         def walk():
-            seen, parts = None, None
-            for conv, number, kind, part, loss, valid in _rows(batches):
-                if parts is None or conv != seen:
-                    if parts is not None:
-                        yield done(seen, parts)
-                    seen, parts = conv, {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_n": 0, "chars": 0, "ok": True, "role": None, "number": None, "state": template.start}
-                parts["chars"] += len(part)
-                parts["ok"] = parts["ok"] and valid
-                if number != parts["number"]:  # the mark that opens a turn names its role
-                    parts["number"], parts["n"] = number, parts["n"] + 1
-                    parts["role"] = known.get(part)
-                elif kind == "role":
-                    parts["role"] = unescape(part)
-                elif kind == "text":
-                    text = unescape(part)
-                    parts["turns"].update(f"{parts['role']}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    parts["state"] = template.moves.get((parts["state"], parts["role"]), "refused")
-                    if loss:
-                        parts["loss"].update(text.encode("utf-8", "surrogatepass"))
-                        parts["loss_n"] += len(text)
-            if parts is not None:
-                yield done(seen, parts)
-
-        def done(conv, p):
-            ok = p["ok"] and p["state"] in template.final
-            return conv, p["n"], p["turns"].hexdigest(), p["loss_n"], p["loss"].hexdigest(), p["chars"], ok
+            reader, turn, parts = None, None, []
+            for conv, number, part, loss in _rows(batches):
+                if reader is None or conv != reader.conv or number != turn:
+                    if reader is not None:
+                        reader.read(parts)
+                        if conv != reader.conv:
+                            yield reader.row()
+                    if reader is None or conv != reader.conv:
+                        reader = _Conversation(conv, template)
+                    turn, parts = number, []
+                parts.append((part, loss))
+            if reader is not None:
+                reader.read(parts)
+                yield reader.row()
 
         return _batches(walk(), _READ_SCHEMA)
 
-    return segments.select("conv_id", "turn_no", "kind", "text", "loss", "valid").mapInArrow(run, READ)
+    if not in_order:
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "segment")
+    return segments.select("conv_id", "turn_no", "text", "loss").mapInArrow(run, READ)

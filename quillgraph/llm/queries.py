@@ -93,7 +93,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_back(chat.format_chat(turns))
+    return chat.read_back(chat.format_chat(turns), in_order=True)
 
 
 @query("op13_token_counts")
