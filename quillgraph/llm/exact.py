@@ -165,7 +165,8 @@ def exact_dedup(docs: DataFrame, historical: Column | None = None) -> DataFrame:
     found = look_up(rows, index, buckets)
     # What came later: repeats of a slot and groups of non-members alike.
     later = groups_of(rows.filter("NOT old")).select("digest", F.col("winner").alias("late"), F.col("count").alias("later"))
-    merged = rows.join(found, "row").join(later, "digest", "left")
+    hot = scale.cut(scale.heavy_keys(rows, "digest"))
+    merged = scale.lookup_join(rows, later, "digest", "left", spread=["row"], heavy=hot).join(found, "row")
     keep = F.when(F.col("winner").isNull() | (F.col("late") > F.col("winner")), F.col("late")).otherwise(F.col("winner"))
     size = F.coalesce("count", F.lit(0)) + F.coalesce("later", F.lit(0))
     return merged.select(

@@ -63,3 +63,16 @@ def test_outsiders_are_not_members():
     levels, _ = exact.hash_levels(rng.integers(0, 256, (100, 32), np.uint8))
     slots = exact.find_slots(rng.integers(0, 256, (1_000, 32), np.uint8), levels)
     assert slots.max() < 100 and (slots >= 0).any()  # some fall on a slot: the byte check is needed
+
+
+def test_hot_digest(spark, make_docs, tiny_heavy):
+    """One text on half of the rows, old and new ones, with its key split."""
+    rows = [(i, "the same" if i % 2 else f"text {i // 8}") for i in range(60)]
+    docs = make_docs(rows)
+    got = {r.doc_id: r for r in exact.exact_dedup(docs, docs["doc_id"] % 3 == 0).collect()}
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(text, []).append(i)
+    assert len(got) == 60
+    for i, text in rows:
+        assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(groups[text]), len(groups[text]), i == max(groups[text]))
