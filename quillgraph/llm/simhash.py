@@ -159,6 +159,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ordered.mapInArrow(_compare(radius), "src bigint, dst bigint")
 
 
+def _least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smallest ``v`` of each ``u`` as ``m``, and the hubs: the ``u`` of so many pairs that they are split."""
+    counted = scale.cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    return counted.select("u", "m"), scale.heavy_of(counted, "u", "n")
+
+
 def _stars(linked: DataFrame) -> DataFrame:
     """``(fp, component)`` of linked fingerprints, by alternating large and small stars (Kiveris et al., 2014).
 
@@ -173,11 +179,13 @@ def _stars(linked: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("fp"), F.col("v").alias("component"))
         before = mark
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scale.cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least, hubs = _least(both)
+        least = least.select("u", F.least("u", "m").alias("m"))
+        large = scale.lookup_join(both.filter("v > u"), least, "u", spread=["v"], heavy=hubs)
+        large = scale.cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low, hubs = _least(large)
+        small = scale.lookup_join(large, low, "u", spread=["v"], heavy=hubs)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         pairs = scale.cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
 
 
@@ -197,10 +205,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     belong to one component.  No rows give no rows.
     """
     rows = scale.cut(fingerprints(docs))
-    told = scale.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(components(rows, radius), "fp"))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    told = scale.cut(first.join(components(rows, radius), "fp"))
     names = told.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = told.join(names, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = scale.lookup_join(told, names, "component", spread=["fp"], stored=True).select("fp", "component_id")
+    # A text without words, or one that is copied often, is a hot fingerprint.
+    hot = scale.cut(scale.heavy_of(told, "fp", "n"))
+    return scale.lookup_join(rows, named, "fp", spread=["doc_id"], heavy=hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -88,3 +88,22 @@ def test_native_hash_agrees(spark):
     text = "one two three four"
     got = spark.range(1).select(F.xxhash64(F.lit(text)).alias("h")).first().h
     assert got % 2**64 == simhash.fingerprint(text)
+
+
+def test_hot_keys(spark, make_docs, tiny_heavy):
+    """One text on half of the rows and one large component: split keys give the rows of plain joins."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in range(0, 300, 12)]
+    rows = [(i, "the very same text in many rows" if i % 2 else texts[i // 2 % len(texts)]) for i in range(80)]
+    docs = make_docs(rows)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    fps = {i: simhash.fingerprint(t) for i, t in rows}
+    root = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for i in root:
+            for j in root:
+                if (fps[i] ^ fps[j]).bit_count() <= 4 and root[j] < root[i]:
+                    root[i], changed = root[j], True
+    assert got == {i: (f"{fps[i]:016x}", root[i]) for i in root}
