@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillgraph import scale
@@ -159,10 +159,19 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ordered.mapInArrow(_compare(radius), "src bigint, dst bigint")
 
 
-def _least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The smallest ``v`` of each ``u`` as ``m``, and the hubs: the ``u`` of so many pairs that they are split."""
-    counted = scale.cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-    return counted.select("u", "m"), scale.heavy_of(counted, "u", "n")
+def _least(pairs: DataFrame, total: int) -> tuple[DataFrame, DataFrame | None]:
+    """The smallest ``v`` of each ``u`` as ``m``, and the hubs: the ``u`` of so many of the ``total`` pairs that they are split, if any."""
+    fair = scale.fair_share(pairs.sparkSession, total)
+    seen = Observation()
+    counted = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    counted = scale.cut(counted.observe(seen, F.count_if(F.col("n") > fair).alias("hubs")))
+    hubs = counted.filter(F.col("n") > fair).select("u", F.ceil(F.col("n") / F.lit(fair)).cast("int").alias("_slots"))
+    return counted.select("u", "m"), hubs if seen.get["hubs"] else None
+
+
+def _hung(pairs: DataFrame, least: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """The pairs with the ``m`` of their ``u``; without hubs no key needs slots."""
+    return pairs.join(least, "u") if hubs is None else scale.lookup_join(pairs, least, "u", spread=["v"], heavy=hubs)
 
 
 def _stars(linked: DataFrame) -> DataFrame:
@@ -171,22 +180,25 @@ def _stars(linked: DataFrame) -> DataFrame:
     Every round hangs larger neighbours, then smaller ones, on the smallest
     neighbour, until each component is one star around its smallest member.
     """
-    pairs = scale.cut(linked.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
+
+    def stored(pairs: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        kept = scale.cut(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
+        return kept, seen.get
+
+    pairs, mark = stored(linked.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
     before = None
-    while True:
-        mark = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if mark == before:
-            return pairs.select(F.col("u").alias("fp"), F.col("v").alias("component"))
+    while mark != before:
         before = mark
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least, hubs = _least(both)
+        least, hubs = _least(both, 2 * mark["n"])
         least = least.select("u", F.least("u", "m").alias("m"))
-        large = scale.lookup_join(both.filter("v > u"), least, "u", spread=["v"], heavy=hubs)
-        large = scale.cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low, hubs = _least(large)
-        small = scale.lookup_join(large, low, "u", spread=["v"], heavy=hubs)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        pairs = scale.cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        large = _hung(both.filter("v > u"), least, hubs)
+        large, n = scale.cut_counted(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low, hubs = _least(large, n)
+        small = _hung(large, low, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        pairs, mark = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+    return pairs.select(F.col("u").alias("fp"), F.col("v").alias("component"))
 
 
 def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -32,6 +32,12 @@ def fair_rows(counts: DataFrame, n: str = "_n") -> Column:
     return counts.agg(F.greatest(fair, F.lit(2)).cast("long").alias("fair")).scalar()
 
 
+def fair_share(spark: SparkSession, total: int) -> int:
+    """``fair_rows`` of ``total`` rows that are counted already."""
+    share = float(spark.conf.get("quillgraph.heavyShare", str(SHARE)))
+    return max(2, int(total * share / _tasks(spark)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of its own only for a session without executors elsewhere."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillgraph.checkpointDir", None)
@@ -112,16 +118,16 @@ def lookup_join(
     return left.join(right, [key, "_slot"], how).drop("_slot")
 
 
-def for_lookups(facts: DataFrame, key: str, spread: list[str]) -> tuple[DataFrame, DataFrame]:
+def for_lookups(facts: DataFrame, key: str, spread: list[str], stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """Store ``facts`` for many joins on ``key``: the rows with ``_slot``, the heavy keys.
 
     The rows are stored as they are placed by ``[key, "_slot"]``.  Join
     ``copy_to_slots(other, key, heavy)`` to them on these two columns: only the
     other side moves.
     """
-    stored = cut(facts)
-    heavy = cut(heavy_keys(stored, key))
-    placed = split_rows(stored, key, heavy, spread).repartition(_tasks(facts.sparkSession), key, "_slot")
+    facts = facts if stored else cut(facts)
+    heavy = cut(heavy_keys(facts, key))
+    placed = split_rows(facts, key, heavy, spread).repartition(_tasks(facts.sparkSession), key, "_slot")
     return cut_placed(placed), heavy
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -107,3 +108,15 @@ def test_hot_keys(spark, make_docs, tiny_heavy):
                 if (fps[i] ^ fps[j]).bit_count() <= 4 and root[j] < root[i]:
                     root[i], changed = root[j], True
     assert got == {i: (f"{fps[i]:016x}", root[i]) for i in root}
+
+
+def test_links_without_hubs_need_no_slots(spark, monkeypatch):
+    """Splitting keys costs the driver a broadcast per join; a chain has no key to split."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    spark.conf.set("quillgraph.heavyShare", "100")
+    monkeypatch.setattr(simhash.scale, "split_rows", lambda *a, **k: pytest.fail("no key is heavy"))
+    try:
+        got = {r.fp: r.component for r in simhash._stars(chain).collect()}
+    finally:
+        spark.conf.unset("quillgraph.heavyShare")
+    assert got == {i: 0 for i in range(1, 41)}
