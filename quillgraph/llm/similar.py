@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph import scale
@@ -109,6 +109,17 @@ def near(a: tuple, b: tuple, least: float) -> Iterator[tuple[np.ndarray, np.ndar
                 yield i[kept], j[kept]
 
 
+def _parts(banded: DataFrame) -> dict[int, int]:
+    """In how many blocks each band is cut."""
+    counted = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
+    return {r["band"]: r["parts"] for r in counted.collect()}
+
+
+def _looked_up(parts: dict[int, int], band: str) -> Column:
+    known = F.create_map(*(F.lit(x) for item in sorted(parts.items()) for x in item)) if parts else F.lit(None).cast("map<int,int>")
+    return F.try_element_at(known, F.col(band))
+
+
 def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool) -> DataFrame:
     """``(v, u)``: nodes of ``left`` and earlier ones of ``right`` that may be similar.
 
@@ -117,24 +128,23 @@ def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool
     """
     band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(least))).cast("int")
     names = ["node", "size", *(f"fp{k}" for k in range(LANES))]
-    # One row for every factor of 1 / least in size: some dozens, whatever the data.
-    blocks = []
-    for side in (left, right):
-        banded = side.select(*names, band.alias("band"))
-        parts = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
-        parts = scale.cut(parts)
-        blocks.append((banded.join(F.broadcast(parts), "band").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), parts))
-    (own, own_parts), (other, other_parts) = blocks
-
-    def every(parts: str):
-        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own, other = (side.select(*names, band.alias("band")) for side in (left, right))
+    # One number for every factor of 1 / least in size: some dozens, whatever the data.
+    own_parts = _parts(own)
+    other_parts = own_parts if right is left else _parts(other)
+    own, other = (
+        side.withColumn("part", F.pmod(F.xxhash64("node"), _looked_up(parts, "band")).cast("int")) for side, parts in ((own, own_parts), (other, other_parts))
+    )
+
+    def every(parts: dict[int, int], in_band: str):
+        # No part for a band that the side does not have.
+        n = _looked_up(parts, in_band)
+        return F.explode(F.when(n.isNotNull(), F.sequence(F.lit(0), n - 1)))
 
     # A block goes to every block of the other side in its own band and the two beside it.
-    beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    to = own.withColumn("band2", beside).join(F.broadcast(other_parts.toDF("band2", "parts2")), "band2").withColumn("part2", every("parts2"))
+    to = own.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("part2", every(other_parts, "band2"))
     back = other.withColumnRenamed("band", "band2").withColumnRenamed("part", "part2")
-    back = back.withColumn("band", F.explode(F.array(F.col("band2") - 1, F.col("band2"), F.col("band2") + 1)))
-    back = back.join(F.broadcast(own_parts.toDF("band", "parts1")), "band").withColumn("part", every("parts1"))
+    back = back.withColumn("band", F.explode(F.array(F.col("band2") - 1, F.col("band2"), F.col("band2") + 1))).withColumn("part", every(own_parts, "band"))
     keys = ["band", "part", "band2", "part2"]
     rows = to.select(*keys, F.lit(0).alias("side"), *names).unionByName(back.select(*keys, F.lit(1).alias("side"), *names))
 
@@ -166,7 +176,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float)
 
     The text of a ``u`` travels once per slot, however many ``v`` it has.
     """
-    heavy = scale.heavy_keys(pairs, "u")
+    heavy = scale.cut(scale.heavy_keys(pairs, "u"))
     second = scale.split_rows(pairs.join(texts.withColumnRenamed("node", "v"), "v"), "u", heavy, ["v"])
     first = texts.join(pairs.select(F.col("u").alias("node")).distinct(), "node").withColumnRenamed("node", "u")
     first = scale.copy_to_slots(first, "u", heavy).withColumn("v", F.lit(None).cast("long"))

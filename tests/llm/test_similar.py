@@ -112,3 +112,13 @@ def test_recall_by_band():
 def test_null_ids_and_repeats(spark, make_docs):
     docs = make_docs([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")])
     assert similar.keep_dissimilar(docs.withColumn("more", F.lit(1))).count() == 1
+
+
+def test_candidates_store_and_broadcast_no_part_counts(spark, monkeypatch):
+    """Every round asks twice for candidates: the counts of blocks are some dozens of numbers and need no job of their own kind."""
+    rows = [(i, 10 + i % 3, i, i) for i in range(20)]
+    nodes = spark.createDataFrame(rows, "node long, size long, fp0 long, fp1 long")
+    monkeypatch.setattr(similar.scale, "cut", lambda df: pytest.fail("stored"))
+    found = similar.candidates(nodes, nodes, 0.8, first_only=False)
+    assert "Broadcast" not in found._jdf.queryExecution().simpleString()
+    assert (1, 0) in {(r.v, r.u) for r in found.collect()}
