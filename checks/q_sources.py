@@ -142,8 +142,8 @@ def read_pagelinks(spark, sf):
 @check("read_mix_files", "SELECT 'help' AS kind, s_name AS help_reason, count(*) AS n FROM supplier GROUP BY ALL")
 def read_mix_files(spark, sf):
     folder = v.scratch(spark) + "/mixes"
-    raw = v.table(spark, sf, "supplier").select(F.concat(F.lit("help: "), "s_name", F.lit("\n\n")).alias("value"))
-    raw.write.option("maxRecordsPerFile", 1).text(folder)
+    raw = v.table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("help: "), "s_name", F.lit("\n\n")).alias("value"))
+    v.write_file_per_row(raw, folder, "s_suppkey", ".txt")
     parsed = documents.parse_mix_files(documents.read_mix_files(spark, folder))
     return parsed.groupBy("mixes.kind", "mixes.help_reason").agg(F.countDistinct("page").alias("n"))
 
@@ -152,10 +152,10 @@ def read_mix_files(spark, sf):
 def read_entity_docs(spark, sf):
     folder = v.scratch(spark) + "/docs"
     docs = v.table(spark, sf, "supplier").select(
-        F.col("s_name").alias("name"), F.lit("2025-01-02T03:04:05Z").alias("last_revision_date"),
-        F.array("s_suppkey", F.col("s_nationkey").cast("long")).alias("genres"),
+        "s_suppkey", F.to_json(F.struct(F.col("s_name").alias("name"), F.lit("2025-01-02T03:04:05Z").alias("last_revision_date"),
+        F.array("s_suppkey", F.col("s_nationkey").cast("long")).alias("genres"))).alias("value"),
     )
-    docs.write.option("maxRecordsPerFile", 1).json(folder)
+    v.write_file_per_row(docs, folder, "s_suppkey", ".json")
     read = documents.read_entity_docs(spark, folder, documents.ARTIST_DOC)
     return read.select(
         "name", F.array_join(F.transform("genres", lambda g: g.cast("string")), ",").alias("genres"),

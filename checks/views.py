@@ -6,8 +6,11 @@ the same name.  All views cover their whole tables.
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,34 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt to all tasks by ``key``: a small file is read by one task, whatever its rows cost after that."""
+    return rows.repartition(scale._tasks(rows.sparkSession), key)
+
+
+def write_file_per_row(rows: DataFrame, folder: str, key: str, ending: str) -> None:
+    """Write ``value`` of each row, and a line end, as a file of its own, every task into a folder of its own.
+
+    Spark's writer would create them one by one in the task that reads the
+    table and rename each of them on the driver.
+    """
+
+    def write(batches):
+        from pyarrow.fs import FileSystem
+
+        part = TaskContext.get().partitionId()
+        files, where = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", f"{folder}/folder={part}"))
+        files.create_dir(where)
+        values = (value for batch in batches for value in batch.column(0).to_pylist())
+        n = 0
+        for n, value in enumerate(values, 1):
+            with files.open_output_stream(f"{where}/part-{part:05d}-{n:06d}{ending}", compression=None) as out:
+                out.write(((value or "") + "\n").encode("utf-8"))
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    spread(rows.select(key, "value"), key).select("value").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder for one run inside the folder all executors share."""
     if spark.sparkContext.getCheckpointDir() is None:
