@@ -185,7 +185,7 @@ def _entity_text():
   p_partkey || ',' || p_name AS subgenres, '' AS fusions, '''''''' || p_name || ''''''' is a [[' || p_type || ']].' AS description FROM part
   UNION ALL SELECT p_name || '/' || p_partkey || '#History of ' || p_brand, p_name || '/' || p_partkey, '', '', p_brand, 'Loud ' || p_partkey || '.' FROM part""".replace("''''''''", "''''''''"))
 def extract_infobox(spark, sf):
-    pages = v.table(spark, sf, "part").select(
+    pages = v.spread(v.table(spark, sf, "part"), "p_partkey").select(
         F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("title"),
         F.lit("2025-01-01").cast("timestamp").alias("ts"), _entity_text().alias("text"),
     )
@@ -199,7 +199,7 @@ def extract_infobox(spark, sf):
 @check("extract_lead", """SELECT p_name || '/' || p_partkey AS page, '''''''' || p_name || ''''''' is a [[' || p_type || ']].' AS description FROM part
   UNION ALL SELECT p_name || '/' || p_partkey || '#History of ' || p_brand, 'Loud ' || p_partkey || '.' FROM part""")
 def extract_lead(spark, sf):
-    pages = v.table(spark, sf, "part").select(
+    pages = v.spread(v.table(spark, sf, "part"), "p_partkey").select(
         F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("title"),
         F.lit("2025-01-01").cast("timestamp").alias("ts"), _entity_text().alias("text"),
     )
