@@ -119,6 +119,19 @@ def test_jaccard(spark, tiny_heavy, seed):
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_paths_drop_pairs_of_other_components(spark, monkeypatch):
+    """Two separate grids: a pair across them is dropped by its component, the others keep their paths."""
+    monkeypatch.setattr(graph, "LARGE_LEVEL", 0)
+    monkeypatch.setattr(graph, "LEVEL_SHARE", 1_000)
+    rows = [(i, i + 1, 0) for i in range(4)] + [(i, i + 1, 0) for i in range(10, 14)]
+    dropped, whole = [], graph._joined_pairs
+    monkeypatch.setattr(graph, "_joined_pairs", lambda pairs, steps: dropped.append(pairs.count() - (kept := whole(pairs, steps)).count()) or kept)
+    asked = spark.createDataFrame([(0, 4), (0, 14), (10, 13), (13, 10), (2, 2)], "source long, target long")
+    got = {(r.source, r.target): r.path for r in graph.shortest_path(_edges(spark, rows), asked).collect()}
+    assert got == {(0, 4): [0, 1, 2, 3, 4], (0, 14): None, (10, 13): [10, 11, 12, 13], (13, 10): None, (2, 2): [2]}
+    assert dropped == [1]
+
+
 def test_degree_and_neighbours(spark, tiny_heavy):
     edges = _edges(spark, [(0, 1, 0), (0, 1, 2), (2, 0, 1), (3, 0, 1), (4, 0, 0)])
     got = {r.node_id: r.degree for r in graph.degree(edges, _nodes(spark, 6)).collect()}
