@@ -1,7 +1,7 @@
 """Graph queries on ``edges(src, dst, ty)``.
 
-Hubs are the norm here, so no operator gathers a node's neighbours in one row
-and every join on a node id splits the ids that hold very many edges.
+Hubs are the norm here, so no operator gathers a node's neighbours in one row,
+but for lists that the square root of the links bounds, and every join on a node id splits the ids that hold very many edges.
 """
 
 from __future__ import annotations
@@ -102,58 +102,51 @@ def immediate_neighbours(edges: DataFrame, nodes: DataFrame, types: list[int] |
 def edge_jaccard(edges: DataFrame) -> DataFrame:
     """Share of common neighbours of the two ends of each edge.
 
-    Each linked pair is probed with the neighbours of its lower-degree end, so
-    a hub is never expanded for its leaves.  Node pairs with very many possible
-    common neighbours are split over slots on both sides of the join.
+    Every linked pair points from its end of lower degree to the other one, so a
+    node points to at most the square root of twice the pairs, and these lists
+    alone travel: a common neighbour of two linked nodes closes a triangle, which
+    is found once, from its lowest corner, and counts for its three sides.
     """
-    pairs = scale.cut(neighbour_sets(edges))
-    degrees = scale.cut(pairs.groupBy("node_id").agg(F.count(F.lit(1)).alias("d")))
-    # Every pair is there both ways round: a node has as many rows as neighbour.
-    hot = scale.cut(scale.heavy_of(degrees, "node_id", "d"))
-    limit = scale.fair_rows(degrees, "d")
-    near = scale.lookup_join(
-        scale.lookup_join(pairs, degrees, "node_id", heavy=hot),
-        degrees.select(F.col("node_id").alias("neighbour"), F.col("d").alias("nd")),
-        "neighbour",
-        heavy=hot.withColumnRenamed("node_id", "neighbour"),
-    )
-    near = scale.cut(near.select("node_id", "neighbour", "d", "nd"))
-
-    def slots(a: str, b: str):
-        return F.ceil(F.least(a, b) / limit).cast("int")
-
-    lower = (F.col("d") < F.col("nd")) | ((F.col("d") == F.col("nd")) & (F.col("node_id") <= F.col("neighbour")))
-    own_slots = F.ceil(F.col("d") / limit).cast("int")
-    probes = near.filter(lower).select(
-        F.col("node_id").alias("low"), F.col("neighbour").alias("high"), F.col("nd").alias("high_d"),
-        F.pmod(F.xxhash64("neighbour"), own_slots).cast("int").alias("_slot"),
-    )
-    around = near.select(
-        F.col("node_id").alias("low"), F.col("neighbour").alias("w"), F.col("nd").alias("w_d"),
-        F.explode(F.sequence(F.lit(0), own_slots - 1)).alias("_slot"),
+    edges = scale.cut(edges)
+    first = F.col("src").isNull() | (F.col("src") <= F.col("dst"))
+    linked = edges.select(
+        F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b")
     )
-    wedges = probes.join(around, ["low", "_slot"]).select(
-        "low", "high", "w", F.pmod(F.xxhash64("low"), slots("w_d", "high_d")).cast("int").alias("_slot")
+    linked = scale.cut(linked.distinct())
+    ways = F.array_distinct(F.array(F.struct(F.col("a").alias("node_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("node_id"), F.col("a").alias("other"))))
+    # How many neighbours a node has, null included and not, and whether it is its own.
+    degrees = linked.select(F.explode(ways).alias("w")).select("w.*").groupBy("node_id").agg(
+        F.count(F.lit(1)).alias("d"), F.count("other").alias("known"), F.coalesce(F.max(F.expr("cast(node_id = other AS int)")), F.lit(0)).alias("loop")
     )
-    linked = near.select(
-        F.col("node_id").alias("w"), F.col("neighbour").alias("high"),
-        F.explode(F.sequence(F.lit(0), slots("d", "nd") - 1)).alias("_slot"),
-    )
-    common = (
-        wedges.join(linked, ["w", "high", "_slot"], "left_semi")
-        .groupBy("low", "high")
-        .agg(F.count(F.lit(1)).alias("common"))
-    )
-    scored = (
-        near.filter(lower)
-        .select(F.col("node_id").alias("low"), F.col("neighbour").alias("high"), (F.col("d") + F.col("nd")).alias("both"))
-        .join(common, ["low", "high"], "left")
-        .withColumn("common", F.coalesce("common", F.lit(0)))
-        .select(
-            F.least("low", "high").alias("a"),
-            F.greatest("low", "high").alias("b"),
-            F.coalesce(F.try_divide(F.col("common"), F.col("both") - F.col("common")), F.lit(0.0)).alias("jaccard"),
-        )
+    degrees = scale.cut(degrees)
+    hot = scale.cut(scale.heavy_of(degrees, "node_id", "d"))
+
+    def told(end: str) -> DataFrame:
+        return degrees.select(F.col("node_id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("d", "known", "loop")))
+
+    near = scale.lookup_join(linked, told("a"), "a", heavy=hot.withColumnRenamed("node_id", "a"))
+    near = scale.lookup_join(near, told("b"), "b", spread=["a"], heavy=hot.withColumnRenamed("node_id", "b"))
+    up = F.col("d_a") <= F.col("d_b")
+    own = F.when(F.col("a") == F.col("b"), F.col("known_a")).otherwise(F.col("loop_a") + F.col("loop_b"))
+    near = scale.cut(near.select(
+        F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("high"),
+        F.greatest("d_a", "d_b").alias("high_d"), (F.col("d_a") + F.col("d_b")).alias("both"), own.cast("long").alias("own"),
+    ))
+    lists = near.filter("low <> high").groupBy("low").agg(F.sort_array(F.collect_list(F.struct("high_d", "high"))).alias("l"))
+    lists = scale.cut(lists.select("low", F.col("l.high").alias("later")))
+    # Each node sends every node it points to those that come after.
+    sent = lists.select("low", F.posexplode("later").alias("at", "high"), "later").filter(F.col("at") < F.size("later") - 1)
+    sent = sent.select("low", "high", F.slice("later", F.col("at") + 2, F.size("later")).alias("rest"))
+    there = lists.select(F.col("low").alias("high"), "later")
+    met = scale.lookup_join(sent, there, "high", spread=["low"], heavy=hot.withColumnRenamed("node_id", "high"))
+    met = met.select("low", "high", F.explode(F.array_intersect("rest", "later")).alias("top"))
+    sides = F.array(*(F.struct(F.col(x).alias("low"), F.col(y).alias("high")) for x, y in (("low", "high"), ("low", "top"), ("high", "top"))))
+    closed = met.select(F.explode(sides).alias("side")).groupBy("side.low", "side.high").agg(F.count(F.lit(1)).alias("closed"))
+    common = F.coalesce("closed", F.lit(0)) + F.col("own")
+    scored = near.join(closed, ["low", "high"], "left").select(
+        F.least("low", "high").alias("a"),
+        F.greatest("low", "high").alias("b"),
+        F.coalesce(F.try_divide(common, F.col("both") - common), F.lit(0.0)).alias("jaccard"),
     )
     ends = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
     return ends.join(scored, ["a", "b"]).select("src", "dst", "ty", "jaccard")

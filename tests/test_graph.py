@@ -119,6 +119,22 @@ def test_jaccard(spark, tiny_heavy, seed):
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_jaccard_of_loops_and_nulls(spark, tiny_heavy):
+    rows = [(1, 1, 0), (1, 2, 0), (2, 3, 0), (3, 1, 1), (2, 2, 0), (4, 4, 0), (4, None, 0), (None, 3, 0)]
+    got = {(r.src, r.dst, r.ty): r.jaccard for r in graph.edge_jaccard(_edges(spark, rows)).collect()}
+    # Neighbours: 1 {1,2,3}, 2 {1,2,3}, 3 {1,2,null}, 4 {4,null}; the edges with a null end meet the loop of the other one.
+    assert got == {(1, 1, 0): 1.0, (1, 2, 0): 1.0, (2, 3, 0): pytest.approx(2 / 4), (3, 1, 1): pytest.approx(2 / 4), (2, 2, 0): 1.0, (4, 4, 0): pytest.approx(1 / 3), (4, None, 0): pytest.approx(1 / 3)}
+
+
+def test_jaccard_sends_no_neighbours_of_leaves(spark):
+    """Two linked hubs with shared leaves: a leaf sends one neighbour, a hub none (the hubs' lists crossed whole before)."""
+    rows = [(0, 1, 0)] + [(h, leaf, 0) for h in (0, 1) for leaf in range(2, 40)]
+    scored = graph.edge_jaccard(_edges(spark, rows))
+    got = {(r.src, r.dst): r.jaccard for r in scored.collect()}
+    assert got[(0, 1)] == pytest.approx(38 / 40) and got[(0, 2)] == pytest.approx(1 / 40)
+    assert "slice(later" in scored._jdf.queryExecution().simpleString()
+
+
 def test_paths_drop_pairs_of_other_components(spark, monkeypatch):
     """Two separate grids: a pair across them is dropped by its component, the others keep their paths."""
     monkeypatch.setattr(graph, "LARGE_LEVEL", 0)
