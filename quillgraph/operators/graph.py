@@ -57,14 +57,15 @@ def degree_scale(nodes: DataFrame) -> DataFrame:
 
 
 def neighbour_sets(edges: DataFrame) -> DataFrame:
-    """Undirected neighbours as distinct rows ``(node_id, neighbour)``."""
-    both = F.explode(
-        F.array(
-            F.struct(F.col("src").alias("node_id"), F.col("dst").alias("neighbour")),
-            F.struct(F.col("dst").alias("node_id"), F.col("src").alias("neighbour")),
-        )
+    """Undirected neighbours as distinct rows ``(node_id, neighbour)``; a pair is made distinct once and turned after that."""
+    first = F.col("src").isNull() | (F.col("src") <= F.col("dst"))
+    pairs = edges.select(
+        F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b")
+    ).distinct()
+    both = F.array(
+        F.struct(F.col("a").alias("node_id"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("node_id"), F.col("a").alias("neighbour"))
     )
-    return edges.select(both.alias("p")).select("p.*").distinct()
+    return pairs.select(F.explode(F.array_distinct(both)).alias("p")).select("p.*")
 
 
 def neighbour_overlap(left: str, right: str) -> list:

@@ -295,3 +295,12 @@ def test_clean_aliases(spark, label, page, raw, kept):
     nodes = spark.createDataFrame([(page, label)], "page string, label string")
     aliases = spark.createDataFrame([(page, a) for a in raw], "page string, alias string")
     assert build.clean_aliases(nodes, aliases).first()["aliases"] == kept
+
+
+def test_neighbour_pairs_are_made_distinct_once_and_turned_after(spark):
+    rows = [(1, 2, 0), (2, 1, 1), (1, 2, 2), (3, 3, 0), (3, 3, 1), (None, 4, 0), (4, None, 1), (None, None, 0), (9, 1, 0)]
+    got = graph.neighbour_sets(spark.createDataFrame(rows, "src long, dst long, ty int"))
+    both = {(s, d) for s, d, _ in rows} | {(d, s) for s, d, _ in rows}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(both, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
