@@ -12,7 +12,9 @@ What stays is settled in rounds.  In the order of a hash of the documents, a
 document that has no earlier candidate stays; those that are similar to one that
 stays go; the rest tries again among itself.  So all pairs of a group of near
 copies are never made: its first member meets each of the others once.  The
-order is random, so few rounds suffice whatever the groups look like.
+order is random, so few rounds suffice whatever the groups look like.  As soon as
+all candidate pairs of the rest are no more than the documents, all of them are
+compared at once, and what is left is settled on the pairs alone.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillgraph import scale
@@ -120,31 +122,38 @@ def _looked_up(parts: dict[int, int], band: str) -> Column:
     return F.try_element_at(known, F.col(band))
 
 
-def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool) -> DataFrame:
-    """``(v, u)``: nodes of ``left`` and earlier ones of ``right`` that may be similar.
+def _band(least: float) -> Column:
+    return F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(least))).cast("int")
+
+
+def block_parts(nodes: DataFrame, least: float) -> dict[int, int]:
+    """In how many blocks each band of sizes is cut: one number for every factor of 1 / least in size, some dozens, whatever the data."""
+    return _parts(nodes.select(_band(least).alias("band")))
+
+
+def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool, parts: dict[int, int] | None = None) -> DataFrame:
+    """``(v, u, n)``: nodes of ``left`` and earlier ones of ``right`` that may be similar.
 
     With ``first_only`` each comparison tells of a node only its first candidate,
-    and has a row without ``v`` for every node of ``right`` that is one.
+    and has a row without ``v`` for every node of ``right`` that is one; ``n`` is
+    the number of pairs a row stands for.  ``parts`` are the ``block_parts`` of
+    rows that hold both sides; without them they are counted here.
     """
-    band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(least))).cast("int")
     names = ["node", "size", *(f"fp{k}" for k in range(LANES))]
-    own, other = (side.select(*names, band.alias("band")) for side in (left, right))
-    # One number for every factor of 1 / least in size: some dozens, whatever the data.
-    own_parts = _parts(own)
-    other_parts = own_parts if right is left else _parts(other)
-    own, other = (
-        side.withColumn("part", F.pmod(F.xxhash64("node"), _looked_up(parts, "band")).cast("int")) for side, parts in ((own, own_parts), (other, other_parts))
-    )
-
-    def every(parts: dict[int, int], in_band: str):
-        # No part for a band that the side does not have.
+    own, other = (side.select(*names, _band(least).alias("band")) for side in (left, right))
+    if parts is None:
+        parts = _parts(own if right is left else own.unionByName(other))
+    own, other = (side.withColumn("part", F.pmod(F.xxhash64("node"), _looked_up(parts, "band")).cast("int")) for side in (own, other))
+
+    def every(in_band: str):
+        # No part for a band that has no rows.
         n = _looked_up(parts, in_band)
         return F.explode(F.when(n.isNotNull(), F.sequence(F.lit(0), n - 1)))
 
     # A block goes to every block of the other side in its own band and the two beside it.
-    to = own.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("part2", every(other_parts, "band2"))
+    to = own.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("part2", every("band2"))
     back = other.withColumnRenamed("band", "band2").withColumnRenamed("part", "part2")
-    back = back.withColumn("band", F.explode(F.array(F.col("band2") - 1, F.col("band2"), F.col("band2") + 1))).withColumn("part", every(own_parts, "band"))
+    back = back.withColumn("band", F.explode(F.array(F.col("band2") - 1, F.col("band2"), F.col("band2") + 1))).withColumn("part", every("band"))
     keys = ["band", "part", "band2", "part2"]
     rows = to.select(*keys, F.lit(0).alias("side"), *names).unionByName(back.select(*keys, F.lit(1).alias("side"), *names))
 
@@ -153,22 +162,23 @@ def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool
         node, size = table["node"].to_numpy(), table["size"].to_numpy()
         lanes = np.stack([table[f"fp{k}"].to_numpy().view(np.uint64) for k in range(LANES)], axis=1)
         a, b = ((node[side == s], size[side == s], lanes[side == s]) for s in (0, 1))
-        out = [np.zeros((0, 2), np.int64)]
+        out = [np.zeros((0, 3), np.int64)]
         if len(a[0]) and len(b[0]):
             none = np.iinfo(np.int64).max
-            first, met = np.full(len(a[0]), none), np.zeros(len(b[0]), bool)
+            first, told_of, met = np.full(len(a[0]), none), np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), bool)
             for i, j in near(a, b, least):
                 if first_only:
                     np.minimum.at(first, i, b[0][j])
+                    told_of += np.bincount(i, minlength=len(told_of))
                     met[j] = True
                 else:
-                    out.append(np.stack([a[0][i], b[0][j]], axis=1))
+                    out.append(np.stack([a[0][i], b[0][j], np.ones(len(i), np.int64)], axis=1))
             told, met = np.flatnonzero(first != none), b[0][met]
-            out += [np.stack([a[0][told], first[told]], axis=1), np.stack([np.full(len(met), -1), met], axis=1)]
+            out += [np.stack([a[0][told], first[told], told_of[told]], axis=1), np.stack([np.full(len(met), -1), met, np.zeros(len(met), np.int64)], axis=1)]
         pairs = np.concatenate(out)
-        return pa.table({"v": pa.array(pairs[:, 0], mask=pairs[:, 0] < 0), "u": pairs[:, 1]})
+        return pa.table({"v": pa.array(pairs[:, 0], mask=pairs[:, 0] < 0), "u": pairs[:, 1], "n": pairs[:, 2]})
 
-    return rows.groupBy(*keys).applyInArrow(compare, "v bigint, u bigint")
+    return rows.groupBy(*keys).applyInArrow(compare, "v bigint, u bigint, n bigint")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -200,6 +210,20 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float)
     return ordered.mapInArrow(run, "v bigint, u bigint")
 
 
+def later_of_similar(pairs: DataFrame) -> DataFrame:
+    """``node``: those that are similar to an earlier one that stays, when all similar ``pairs`` ``(v, u)`` are known."""
+    levels = []
+    pairs, n = scale.cut_counted(pairs.select("v", "u"))
+    while n:
+        # Nobody earlier is similar to it: it stays, and all that are similar to it go.
+        stay = pairs.select(F.col("u").alias("node")).distinct().join(pairs.select(F.col("v").alias("node")).distinct(), "node", "left_anti")
+        out = scale.cut(pairs.join(stay.withColumnRenamed("node", "u"), "u", "left_semi").select(F.col("v").alias("node")).distinct())
+        levels = scale.merge_levels([*levels, out])
+        rest = pairs.join(out.withColumnRenamed("node", "v"), "v", "left_anti").join(out.withColumnRenamed("node", "u"), "u", "left_anti")
+        pairs, n = scale.cut_counted(rest)
+    return scale.union_all(levels) if levels else pairs.select(F.col("v").alias("node"))
+
+
 def keep_dissimilar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """One document of each group of similar texts, with all its columns.
 
@@ -210,16 +234,18 @@ def keep_dissimilar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILA
     """
     rows = scale.cut(signatures(docs, words).distinct())
     order = [F.xxhash64("id", "hash"), F.col("id"), F.col("hash")]
-    nodes = scale.cut(scale.with_dense_index(rows, order, "node"))
+    nodes, documents = scale.cut_counted(scale.with_dense_index(rows, order, "node"))
+    parts = block_parts(nodes, least)
     told = wrapped(docs, own_id=F.col("doc_id").cast("long"), own=F.xxhash64(text_of()), body=text_of())
     same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash"))
     active, texts, gone = nodes, None, []
     while True:
-        first = scale.cut(candidates(active, active, least, first_only=True).distinct())
-        later = first.filter("v IS NOT NULL").select(F.col("v").alias("node")).distinct()
-        waiting, n = scale.cut_counted(active.join(later, "node", "left_semi"))
-        if n == 0:
+        seen = Observation()
+        first = candidates(active, active, least, first_only=True, parts=parts).groupBy("v", "u").agg(F.sum("n").alias("n"))
+        first = scale.cut(first.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")))
+        if seen.get["pairs"] == 0:
             break
+        later = first.filter("v IS NOT NULL").select(F.col("v").alias("node")).distinct()
         # The texts of documents that have a candidate or are one are fetched once.
         met = later.unionByName(first.select(F.col("u").alias("node"))).distinct()
         if texts is None:
@@ -228,8 +254,13 @@ def keep_dissimilar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILA
         else:
             texts = texts.join(met, "node", "left_semi")
         texts = scale.cut(texts)
+        if seen.get["pairs"] <= documents:
+            every = candidates(active, active, least, first_only=False, parts=parts).select("v", "u")
+            gone.append(later_of_similar(similar_pairs(scale.cut(every), texts, words, least)))
+            break
+        waiting = scale.cut(active.join(later, "node", "left_semi"))
         stay = active.join(met, "node", "left_semi").join(later, "node", "left_anti")
-        pairs = scale.cut(candidates(waiting, stay, least, first_only=False))
+        pairs = scale.cut(candidates(waiting, stay, least, first_only=False, parts=parts).select("v", "u"))
         found = similar_pairs(pairs, texts, words, least)
         gone.append(scale.cut(found.select(F.col("v").alias("node")).distinct()))
         active = scale.cut(waiting.join(gone[-1], "node", "left_anti"))

@@ -122,3 +122,25 @@ def test_candidates_store_and_broadcast_no_part_counts(spark, monkeypatch):
     found = similar.candidates(nodes, nodes, 0.8, first_only=False)
     assert "Broadcast" not in found._jdf.queryExecution().simpleString()
     assert (1, 0) in {(r.v, r.u) for r in found.collect()}
+
+
+def test_a_chain_needs_no_round_for_each_of_its_links(spark, make_docs, monkeypatch):
+    """Texts that are each similar to the next one only: as their pairs are no more than the documents, blocks are compared twice."""
+    words = [f"w{i}" for i in range(1_000)]
+    rows = [(i, " ".join(words[7 * i : 7 * i + 120])) for i in range(40)]
+    rows += [(100 + i, f"u{i}") for i in range(400)]
+    compared, candidates = [], similar.candidates
+    monkeypatch.setattr(similar, "candidates", lambda *a, **k: compared.append(1) or candidates(*a, **k))
+    kept = [r.doc_id for r in similar.keep_dissimilar(make_docs(rows, clash=False)).collect()]
+    _holds(rows, kept)
+    assert len([d for d in kept if d < 100]) < 40 and len(compared) == 2
+
+
+@pytest.mark.parametrize("pairs", [[], [(1, 0)], [(1, 0), (2, 1), (3, 2), (4, 3)], [(2, 0), (2, 1), (3, 2), (4, 2), (4, 3), (5, 4), (9, 5)]])
+def test_later_of_similar_is_greedy(spark, pairs):
+    gone = set()
+    for v in sorted({v for v, _ in pairs}):
+        if any(u not in gone for w, u in pairs if w == v):
+            gone.add(v)
+    told = similar.later_of_similar(spark.createDataFrame(pairs, "v long, u long")).collect()
+    assert sorted(r.node for r in told) == sorted(gone)
