@@ -363,5 +363,7 @@ def extract_from_dump(spark, sf):
     )
     pages = dump.read_dump_pages(spark, _write_dump(spark, sf)).withColumn("text", F.concat(head, "text"))
     kept = extract.drop_namespaced(extract.classify_pages(pages))
+    # The dump is read once: stored are the pages, with the text of the redirects alone.
+    kept = scale.cut(kept.select(key, "title", "kind", F.when(F.col("kind") == "redirect", F.col("text")).alias("text")))
     targets = extract.resolved_only(extract.read_redirects(kept, "docs.example.org"))
     return kept.select(key.alias("id"), "title", "kind").join(targets, "title", "left").select("id", "kind", "target")

@@ -73,12 +73,14 @@ def _pages(records: DataFrame) -> DataFrame:
     record = F.regexp_extract("value", r"(?s)<page>.*", 0)
     pages = records.filter(F.col("value").contains("<page>")).select(record.alias("record"))
     body = F.col("record")
-    return pages.select(
+    fields = F.struct(
         F.try_to_number(_tag(body, "id"), F.lit("999999999999999999")).cast("long").alias("page_id"),
         _unescape(_tag(body, "title")).alias("title"),
         F.try_to_timestamp(_tag(body, "timestamp")).alias("ts"),
         _unescape(_tag(body, "text")).alias("text"),
     )
+    # Generated rows are filtered as they are: a condition on a field does not scan the page for it again.
+    return pages.select(F.inline(F.array(fields)))
 
 
 def _wanted(rows: DataFrame, wanted: DataFrame | Column | None) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators import extract
 from quillgraph.sinks import documents as sink
 from quillgraph.sources import curation, documents, dump, sqldump
 
@@ -146,3 +147,11 @@ def test_curation_sizes(spark):
     dim = curation.template_dim(spark, more)
     assert dim.count() == dim.select("name").distinct().count()
     assert dim.filter("name = 'cn'").count() == 1
+
+
+def test_conditions_on_pages_do_not_scan_them_again(spark, dump_file):
+    """Each tag is looked for once, whatever is asked of its text afterwards."""
+    path = dump_file[0] if isinstance(dump_file, tuple) else dump_file
+    pages = extract.drop_namespaced(extract.classify_pages(dump.read_dump_pages(spark, str(path))))
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</text>") == 1 and plan.count("</title>") == 1
