@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.registry import check
+from quillgraph import scale
 from quillgraph.functions import names
 from quillgraph.operators import audit, build, extract, graph, links, rank
 from quillgraph.sinks import documents as sink
@@ -190,7 +191,8 @@ def _raw_aliases(spark, sf):
         .when(F.col("l_quantity") < 25, F.concat(plain, F.repeat(F.lit(" long"), F.lit(12))))
         .otherwise(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")))
     )
-    return joined.select(F.concat(F.lit("Cust "), F.col("o_custkey").cast("string")).alias("page"), title.alias("alias")).distinct()
+    raw = joined.select(F.concat(F.lit("Cust "), F.col("o_custkey").cast("string")).alias("page"), title.alias("alias"))
+    return scale.finer(raw, "page", "alias").distinct()
 
 
 ALIASES_SQL = """raw AS (SELECT DISTINCT 'Cust ' || o_custkey AS page, CASE WHEN l_quantity < 10 THEN upper(p_name || ' ' || lower(p_type)) || ' (' || p_brand || ')'

@@ -103,11 +103,12 @@ def edge_union(*parts: DataFrame) -> DataFrame:
 def first_alias(aliases: DataFrame) -> DataFrame:
     """Per page and normal form, the alias whose raw title sorts first.
 
-    ``aliases(page, alias, shown, norm)``; a plain minimum, so pages with very
-    many redirects are combined before the shuffle.
+    ``aliases(page, alias, shown, norm)``; pages with very many redirects are
+    spread by normal form, and rows of one page and form, which differ in case,
+    marks or qualifier only, stream past a plain minimum.
     """
     first = F.min(F.struct("alias", "shown"))
-    return aliases.groupBy("page", "norm").agg(first.alias("m")).select("page", "norm", F.col("m.shown").alias("shown"))
+    return scale.finer(aliases, "page", "norm").groupBy("page", "norm").agg(first.alias("m")).select("page", "norm", F.col("m.shown").alias("shown"))
 
 
 def clean_aliases(nodes: DataFrame, aliases: DataFrame) -> DataFrame:

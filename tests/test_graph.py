@@ -304,3 +304,14 @@ def test_neighbour_pairs_are_made_distinct_once_and_turned_after(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(both, key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_aliases_are_dealt_to_more_tasks_than_a_shuffle_has(spark):
+    rows = [(f"p{i % 50}", f"alias {i}", f"alias {i}", f"alias {i % 400}") for i in range(800)]
+    first = build.first_alias(spark.createDataFrame(rows, "page string, alias string, shown string, norm string"))
+    tasks = first.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = {}
+    for page, alias, shown, norm in rows:
+        least[page, norm] = min(least.get((page, norm), (alias, shown)), (alias, shown))
+    assert sorted(map(tuple, first.collect())) == sorted((p, n, s) for (p, n), (_, s) in least.items())
