@@ -8,13 +8,14 @@ counts; tile pairs whose sizes or population counts lie too far apart are
 skipped.  Pairs within the radius are only candidates: the shingles of both
 whole texts are compared before a document goes.
 
-What stays is settled in rounds.  In the order of a hash of the documents, a
-document that has no earlier candidate stays; those that are similar to one that
-stays go; the rest tries again among itself.  So all pairs of a group of near
-copies are never made: its first member meets each of the others once.  The
-order is random, so few rounds suffice whatever the groups look like.  As soon as
-all candidate pairs of the rest are no more than the documents, all of them are
-compared at once, and what is left is settled on the pairs alone.
+What stays is settled in rounds, in the order of a hash of the documents.  The
+pivots of a round are the documents without an earlier candidate and the first
+ones of the order, so many that the largest group has about ``PIVOTS`` of them.
+They are compared among themselves; those that stay meet the rest, which goes or
+waits for the next round.  So all pairs of a group of near copies are never made.
+A text travels with the first candidate of the pivots it may be similar to, not
+once for each pair: pairs that are only candidates are compared in the tasks that
+hold both texts and leave no row.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph import scale
@@ -41,6 +42,9 @@ FIRST_RADIUS = 18
 BLOCK = 32_768
 SLICE = 512
 HASHES = 1 << 14
+# Pivots of a round in the largest group, and of texts that meet the same pivots in one task.
+PIVOTS = 1024
+MEETING = 512
 
 
 def shingles(text: str | None, words: int = SHINGLE) -> set[bytes]:
@@ -131,16 +135,20 @@ def block_parts(nodes: DataFrame, least: float) -> dict[int, int]:
     return _parts(nodes.select(_band(least).alias("band")))
 
 
-def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool, parts: dict[int, int] | None = None) -> DataFrame:
+def candidates(
+    left: DataFrame, right: DataFrame, least: float, first_only: bool, parts: dict[int, int] | None = None, told: str = "node"
+) -> DataFrame:
     """``(v, u, n)``: nodes of ``left`` and earlier ones of ``right`` that may be similar.
 
     With ``first_only`` each comparison tells of a node only its first candidate,
     and has a row without ``v`` for every node of ``right`` that is one; ``n`` is
     the number of pairs a row stands for.  ``parts`` are the ``block_parts`` of
-    rows that hold both sides; without them they are counted here.
+    rows that hold both sides; without them they are counted here.  ``told`` is
+    the column of ``right`` to return as ``u``: without ``first_only`` a comparison
+    tells a node only once of each of its values.
     """
-    names = ["node", "size", *(f"fp{k}" for k in range(LANES))]
-    own, other = (side.select(*names, _band(least).alias("band")) for side in (left, right))
+    names = ["node", "size", *(f"fp{k}" for k in range(LANES)), "told"]
+    own, other = (side.withColumn("told", F.col(c)).select(*names, _band(least).alias("band")) for side, c in ((left, "node"), (right, told)))
     if parts is None:
         parts = _parts(own if right is left else own.unionByName(other))
     own, other = (side.withColumn("part", F.pmod(F.xxhash64("node"), _looked_up(parts, "band")).cast("int")) for side in (own, other))
@@ -162,6 +170,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool
         node, size = table["node"].to_numpy(), table["size"].to_numpy()
         lanes = np.stack([table[f"fp{k}"].to_numpy().view(np.uint64) for k in range(LANES)], axis=1)
         a, b = ((node[side == s], size[side == s], lanes[side == s]) for s in (0, 1))
+        names_of_b = table["told"].to_numpy()[side == 1]
         out = [np.zeros((0, 3), np.int64)]
         if len(a[0]) and len(b[0]):
             none = np.iinfo(np.int64).max
@@ -172,39 +181,63 @@ def candidates(left: DataFrame, right: DataFrame, least: float, first_only: bool
                     told_of += np.bincount(i, minlength=len(told_of))
                     met[j] = True
                 else:
-                    out.append(np.stack([a[0][i], b[0][j], np.ones(len(i), np.int64)], axis=1))
+                    met_once, n = np.unique(np.stack([a[0][i], names_of_b[j]], axis=1), axis=0, return_counts=True)
+                    out.append(np.column_stack([met_once, n]))
             told, met = np.flatnonzero(first != none), b[0][met]
             out += [np.stack([a[0][told], first[told], told_of[told]], axis=1), np.stack([np.full(len(met), -1), met, np.zeros(len(met), np.int64)], axis=1)]
         pairs = np.concatenate(out)
+        if not first_only:
+            once, back = np.unique(pairs[:, :2], axis=0, return_inverse=True)
+            pairs = np.column_stack([once, np.bincount(back.ravel(), pairs[:, 2], len(once)).astype(np.int64)])
         return pa.table({"v": pa.array(pairs[:, 0], mask=pairs[:, 0] < 0), "u": pairs[:, 1], "n": pairs[:, 2]})
 
     return rows.groupBy(*keys).applyInArrow(compare, "v bigint, u bigint, n bigint")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The ``pairs`` whose shingles have at least the similarity; ``texts`` has ``(node, text)``.
+def similar_pairs(asked: DataFrame, pivots: DataFrame, texts: DataFrame, words: int, least: float, every: bool) -> DataFrame:
+    """``(v, u)``: nodes and earlier pivots of a group they ask whose fingerprints are near and whose shingles have at least the similarity.
 
-    The text of a ``u`` travels once per slot, however many ``v`` it has.
+    ``asked`` has ``(v, group)`` and is stored, ``pivots`` ``(node, group)``,
+    ``texts`` the node's size, fingerprint and ``text``.  Without ``every`` a node
+    is told of one such pivot of a group.  Nodes that ask a large group are dealt
+    to many tasks, each with the group's pivots.
     """
-    heavy = scale.cut(scale.heavy_keys(pairs, "u"))
-    second = scale.split_rows(pairs.join(texts.withColumnRenamed("node", "v"), "v"), "u", heavy, ["v"])
-    first = texts.join(pairs.select(F.col("u").alias("node")).distinct(), "node").withColumnRenamed("node", "u")
-    first = scale.copy_to_slots(first, "u", heavy).withColumn("v", F.lit(None).cast("long"))
-    columns = ["u", "_slot", "v", "text"]
-    ordered = first.select(*columns).unionByName(second.select(*columns)).repartition("u", "_slot")
-    ordered = ordered.sortWithinPartitions("u", "_slot", F.col("v").asc_nulls_first())
+    counts = asked.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
+    most = F.greatest(scale.fair_rows(counts), F.lit(MEETING))
+    heavy = counts.withColumn("_most", most).filter("_n > _most").select("group", F.ceil(F.col("_n") / F.col("_most")).cast("int").alias("_slots"))
+    heavy = scale.cut(heavy)
+    second = scale.split_rows(texts.withColumnRenamed("node", "v").join(asked, "v"), "group", heavy, ["v"]).withColumnRenamed("v", "node")
+    first = pivots.join(asked.select("group").distinct(), "group", "left_semi").join(texts, "node")
+    first = scale.copy_to_slots(first, "group", heavy)
+    columns = ["group", "_slot", "side", "node", "size", *(f"fp{k}" for k in range(LANES)), "text"]
+    ordered = first.withColumn("side", F.lit(0)).select(*columns).unionByName(second.withColumn("side", F.lit(1)).select(*columns))
+    ordered = ordered.repartition("group", "_slot").sortWithinPartitions("group", "_slot", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: set[bytes] = set()
+        at, sets, known, rows, block = None, [], {}, [], None
         for batch in batches:
             us, vs = [], []
-            for u, v, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            told = zip(*(batch.column(k).to_pylist() for k in range(5 + LANES)), batch.column(5 + LANES))
+            for group, slot, side, node, size, *lanes, text in told:
+                if (group, slot) != at:
+                    at, sets, known, rows, block = (group, slot), [], {}, [], None
                 found = shingles(text.as_py(), words)
-                if v is None:
-                    own = found
-                elif similarity(own, found) >= least:
-                    us.append(u)
-                    vs.append(v)
+                if side == 0:
+                    # Equal shingles of the pivots are held once.
+                    sets.append(frozenset(known.setdefault(x, x) for x in found))
+                    rows.append((node, size, *lanes))
+                    continue
+                if block is None:
+                    block = np.array(rows, np.int64).reshape(-1, 2 + LANES)
+                bits = np.bitwise_count((block[:, 2:] ^ np.array(lanes, np.int64)).view(np.uint64)).astype(np.int64)
+                kept = (block[:, 0] < node) & (bits[:, 0] <= FIRST_RADIUS) & (bits.sum(axis=1) <= RADIUS)
+                kept &= np.minimum(block[:, 1], size) >= least * np.maximum(block[:, 1], size)
+                for j in np.flatnonzero(kept):
+                    if similarity(sets[j], found) >= least:
+                        us.append(rows[j][0])
+                        vs.append(node)
+                        if not every:
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array(us, pa.int64())], names=["v", "u"])
 
     return ordered.mapInArrow(run, "v bigint, u bigint")
@@ -238,32 +271,40 @@ def keep_dissimilar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILA
     parts = block_parts(nodes, least)
     told = wrapped(docs, own_id=F.col("doc_id").cast("long"), own=F.xxhash64(text_of()), body=text_of())
     same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash"))
-    active, texts, gone = nodes, None, []
-    while True:
-        seen = Observation()
-        first = candidates(active, active, least, first_only=True, parts=parts).groupBy("v", "u").agg(F.sum("n").alias("n"))
-        first = scale.cut(first.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")))
-        if seen.get["pairs"] == 0:
+    active, texts, gone, done = nodes, None, [], 0
+    columns = ["node", "size", *(f"fp{k}" for k in range(LANES))]
+    while done < documents:
+        first = candidates(active, active, least, first_only=True, parts=parts)
+        # A node's group is that of its first candidate; without an earlier one it is that candidate of others.
+        met = first.select(F.coalesce("v", "u").alias("node"), F.col("u").alias("group")).groupBy("node").agg(F.min("group").alias("group"))
+        met, n = scale.cut_counted(active.join(met, "node"))
+        if n == 0:
             break
-        later = first.filter("v IS NOT NULL").select(F.col("v").alias("node")).distinct()
         # The texts of documents that have a candidate or are one are fetched once.
-        met = later.unionByName(first.select(F.col("u").alias("node"))).distinct()
         if texts is None:
-            used = nodes.join(met, "node", "left_semi").select("node", "id", "hash")
-            texts = told.select("own_id", "own", "body").join(used, same).select("node", F.col("body").alias("text")).dropDuplicates(["node"])
+            used = met.select(*columns, "id", "hash")
+            texts = told.select("own_id", "own", "body").join(used, same).select(*columns, F.col("body").alias("text")).dropDuplicates(["node"])
         else:
             texts = texts.join(met, "node", "left_semi")
         texts = scale.cut(texts)
-        if seen.get["pairs"] <= documents:
-            every = candidates(active, active, least, first_only=False, parts=parts).select("v", "u")
-            gone.append(later_of_similar(similar_pairs(scale.cut(every), texts, words, least)))
+        largest = met.groupBy("group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        # The order is that of a hash: so much of it holds about as much of each group.
+        done = documents if largest <= PIVOTS else done + max(1, (documents - done) * PIVOTS // largest)
+        early = (F.col("group") == F.col("node")) | (F.col("node") < done)
+        pivots, later = met.filter(early), met.filter("group < node")
+        asked = scale.cut(candidates(later, pivots, least, first_only=False, parts=parts, told="group").select("v", F.col("u").alias("group")).distinct())
+        asked = asked.join(later.select(F.col("node").alias("v"), early.alias("early")), "v")
+        own = scale.cut(asked.filter("early").drop("early"))
+        out = later_of_similar(similar_pairs(own, pivots.select("node", "group"), texts, words, least, every=True))
+        if done == documents:
+            gone.append(out)
             break
-        waiting = scale.cut(active.join(later, "node", "left_semi"))
-        stay = active.join(met, "node", "left_semi").join(later, "node", "left_anti")
-        pairs = scale.cut(candidates(waiting, stay, least, first_only=False, parts=parts).select("v", "u"))
-        found = similar_pairs(pairs, texts, words, least)
-        gone.append(scale.cut(found.select(F.col("v").alias("node")).distinct()))
-        active = scale.cut(waiting.join(gone[-1], "node", "left_anti"))
+        out = scale.cut(out)
+        stay = pivots.select("node", "group").join(out, "node", "left_anti")
+        rest = scale.cut(asked.filter("NOT early").drop("early"))
+        meets = similar_pairs(rest, stay, texts, words, least, every=False)
+        gone.append(scale.cut(out.unionByName(meets.select(F.col("v").alias("node")).distinct())))
+        active = scale.cut(later.filter(~early).drop("group").join(gone[-1], "node", "left_anti"))
     kept = nodes
     if gone:
         kept = nodes.join(scale.union_all(gone), "node", "left_anti")

@@ -144,3 +144,32 @@ def test_later_of_similar_is_greedy(spark, pairs):
             gone.add(v)
     told = similar.later_of_similar(spark.createDataFrame(pairs, "v long, u long")).collect()
     assert sorted(r.node for r in told) == sorted(gone)
+
+
+@pytest.mark.parametrize("pivots", [8, 1024])
+def test_a_group_that_is_only_alike_needs_few_rounds(spark, make_docs, pivots, monkeypatch):
+    """Near copies of one text that are candidates of each other but mostly not similar: rounds do not grow with the texts that stay."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(900)}" for _ in range(100)]
+    texts = []
+    for i in range(90):
+        other = list(base)
+        for at in rng.sample(range(100), rng.randrange(1, 6)):
+            other[at] = f"v{i}"
+        texts.append(" ".join(other))
+    rows = list(enumerate(texts))
+    found, sets = [similar.signature(t) for t in texts], [similar.shingles(t) for t in texts]
+    bits = [[int(np.bitwise_count(a ^ b).sum()) for _, b in found] for _, a in found]
+    alike = sum(bits[i][j] <= similar.RADIUS for i in range(90) for j in range(i))
+    close = sum(similar.similarity(sets[i], sets[j]) >= 0.8 for i in range(90) for j in range(i))
+    assert alike > 20 * 90 and 90 < close < alike / 2
+    monkeypatch.setattr(similar, "PIVOTS", pivots)
+    monkeypatch.setattr(similar, "MEETING", 16)
+    rounds, candidates = [], similar.candidates
+    monkeypatch.setattr(similar, "candidates", lambda *a, **k: rounds.append(k["first_only"]) or candidates(*a, **k))
+    kept = [r.doc_id for r in similar.keep_dissimilar(make_docs(rows, clash=False)).collect()]
+    assert len(kept) > 20 and sum(rounds) <= (1 if pivots > 90 else 14)
+    left = set(kept)
+    for d in range(90):
+        near = [k for k in kept if k != d and similar.similarity(sets[d], sets[k]) >= 0.8 and bits[d][k] <= similar.RADIUS]
+        assert not [k for k in near if np.bitwise_count(found[d][1][0] ^ found[k][1][0]) <= similar.FIRST_RADIUS] if d in left else near, d
