@@ -52,3 +52,14 @@ def test_parts_are_components(spark, split):
         assert parts == whole
     finally:
         spark.conf.unset("quillgraph.heavyShare")
+
+
+def test_estimates_stay_small_over_rounds(spark):
+    rows = spark.range(50).select(F.col("id").alias("a"), (F.col("id") * 7 % 50).alias("b"))
+    near = scale.cut(rows)
+    for _ in range(8):
+        there = near.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        near = scale.cut(near.join(there, "b").join(there.withColumnRenamed("c", "d"), "b").select("a", F.col("c").alias("b")))
+    assert near._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+    want = {(i, i * 7 ** (2 ** 8) % 50) for i in range(50)}
+    assert {(r.a, r.b) for r in near.collect()} == want
